@@ -7,7 +7,8 @@ on average. Nodes of one document end, small ones are compared exhaustively, and
 similarity to the node is near the threshold are compared with the whole node while the rest branch on.
 
 Scale: the first levels are DataFrame steps over rows of (node, document) of 16 bytes; only nodes that several documents
-share fetch sketches (256 bytes each). Nodes above ``split_rows`` branch in further distributed levels. Copies with equal
+share fetch sketches (256 bytes each). Common bigrams let unlike documents share single values, and the more of them the
+larger the corpus, so that every node branches ``first`` levels before sizes count: unlike documents seldom share two. Nodes above ``split_rows`` branch in further distributed levels. Copies with equal
 sketches are joined first and take part once, so that thousands of copies don't make a large node.
 
 Edge cases: null or blank texts have no set and are never grouped; texts shorter than a bigram are compared as a whole;
@@ -34,6 +35,8 @@ THRESHOLD = 0.6
 #: Sketch agreement has a standard deviation of 0.043 at the threshold; pairs are accepted from about one below it.
 ACCEPT = 0.56
 TREES = 8
+#: Levels that every node branches before the sizes of nodes are looked at.
+FIRST = 2
 SMALL = 48
 SPLIT_ROWS = 100_000
 _rng = np.random.default_rng(20_231)
@@ -96,7 +99,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at
 
 
-def _branch(threshold: float, trees: int):
+def _branch(threshold: float, trees: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -106,9 +109,12 @@ def _branch(threshold: float, trees: int):
                 roots = [batch.column("node").to_numpy().view(np.uint64)]
             else:
                 roots = [np.full(len(ids), common.mix(np.array([t + 1], np.uint64))[0]) for t in range(trees)]
-            for keys in roots:
-                row, key = _children(keys, m, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row])], ["node", "doc_id"])
+            for key in roots:
+                rows = np.arange(len(ids))
+                for _ in range(levels):
+                    row, key = _children(key, m[rows], threshold)
+                    rows = rows[row]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[rows])], ["node", "doc_id"])
 
     return run
 
@@ -210,7 +216,7 @@ def _leaf(threshold: float, accept: float, small: int):
     return run
 
 
-def near_pairs(sketch: DataFrame, threshold: float = THRESHOLD, accept: float = ACCEPT, trees: int = TREES, small: int = SMALL, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def near_pairs(sketch: DataFrame, threshold: float = THRESHOLD, accept: float = ACCEPT, trees: int = TREES, first: int = FIRST, small: int = SMALL, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Edges ``(a, b)``, a < b, that connect every group of documents found to be similar."""
     one = sketch.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
     keyed = cut(one.withColumn("k1", F.xxhash64("sketch")).withColumn("k2", F.xxhash64("sketch", F.lit(7))))
@@ -218,15 +224,15 @@ def near_pairs(sketch: DataFrame, threshold: float = THRESHOLD, accept: float =
     copies = keyed.select("doc_id", "k1", "k2").join(low, ["k1", "k2"]).where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     firsts = keyed.join(low.select(F.col("low").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sketch")
     count = F.count("*").over(Window.partitionBy("node"))
-    front, leaves, level = firsts.mapInArrow(_branch(threshold, trees), "node long, doc_id long"), [], 0
+    front, leaves, level = firsts.mapInArrow(_branch(threshold, trees, first), "node long, doc_id long"), [], 0
     while True:
         level += 1
-        sized = cut(front.distinct().withColumn("n", count).where("n > 1"))
+        sized = cut(front.withColumn("n", count).where("n > 1"))
         leaves.append(sized.where(F.col("n") <= split_rows) if level < 12 else sized)
         big = sized.where(F.col("n") > split_rows).select("node", "doc_id")
         if level >= 12 or big.isEmpty():
             break
-        front = big.join(firsts, "doc_id").select("node", "doc_id", "sketch").mapInArrow(_branch(threshold, trees), "node long, doc_id long")
+        front = big.join(firsts, "doc_id").select("node", "doc_id", "sketch").mapInArrow(_branch(threshold, trees, 1), "node long, doc_id long")
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)
