@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafwork.plans import geometry
+from leafwork.plans import geometry, script
 
-MODULES = (geometry,)
+MODULES = (geometry, script)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
