@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafwork.plans import geometry, layout, script
+from leafwork.plans import blocks, geometry, layout, script
 
-MODULES = (geometry, script, layout)
+MODULES = (geometry, script, layout, blocks)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
