@@ -13,7 +13,7 @@ Scale: the SVM over Nystrom features is a weighted sum of kernels with the landm
 subsequence weights, so the whole model is one table over three-character subsequences (1 MB) that each task gets. Scoring
 is a map over the scan; every distinct string of a batch is scored once, and an upper bound leaves out, exactly, strings
 whose margin can't exceed ``FLOOR``. At most ``sample`` labelled texts are trained on, those with the
-smallest hash of the id.
+smallest hash of the id, and bounded numbers of their strings.
 
 Edge cases: a null or blank text is not toxic and scores 0; a null id is kept; repeated rows get equal results; texts are
 read whole, strings beyond ``MOST`` characters in overlapping windows; a label that is null, or an id that isn't among the
@@ -33,13 +33,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.llm import common
+
 DECAY = 0.6
 MOST = 32
 LANDMARKS = 192
-SAMPLE = 4000
+SAMPLE = 3000
 ROUNDS = 3
 #: Variants with an inserted character that each witness adds to the training strings.
 VARIANTS = 2
+#: Strings of clean texts that are trained on: so many drawn, and as many of the hardest in each round.
+NEGATIVES = 6000
+#: Bytes of text whose strings are taken together.
+PART_BYTES = 16 << 20
+#: Strings whose kernels are worked out together.
+BLOCK = 1024
 #: Margins are reported from here up.
 FLOOR = -1.0
 _ALPHABET = "^$abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿßœ"
@@ -181,8 +189,8 @@ class Model:
             if w:
                 by_size.setdefault(min(len(w), MOST + 1), []).append(i)
         for own in by_size.values():
-            for a in range(0, len(own), 4096):
-                part = own[a : a + 4096]
+            for a in range(0, len(own), BLOCK):
+                part = own[a : a + BLOCK]
                 x, owner = encode([words[i] for i in part])
                 m = dot(x, self.table, FLOOR - self.bias) + self.bias
                 best = np.full(len(part), FLOOR)
@@ -250,7 +258,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     chance = np.exp(seen * (-(bad / np.maximum(seen, 1)) * np.log(np.maximum(bad / np.maximum(seen, 1), 1e-9) / share)))
     witness = (size >= 3) & (bad >= 3) & (good <= 0.05 * bad) & (chance * len(words) * 0.02 < 1)
     pool = np.flatnonzero((size >= 2) & (good > 0) & (bad <= share * 2 * seen + 3))
-    negative = rng.choice(pool, min(len(pool), 8_000), replace=False) if len(pool) else np.zeros(0, np.int64)
+    negative = rng.choice(pool, min(len(pool), NEGATIVES), replace=False) if len(pool) else np.zeros(0, np.int64)
     model, hard = Model(), np.zeros(0, np.int64)
     for _ in range(rounds):
         positive = np.flatnonzero(witness)
@@ -268,8 +276,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         varied = [_inserted(words[i], rng) for i in positive for _ in range(VARIANTS)]
         rows = [words[i] for i in positive] + varied + [words[i] for i in negative]
         kernel = np.zeros((len(rows), len(marks)))
-        for i in range(0, len(rows), 4096):
-            x, owner = encode(rows[i : i + 4096])
+        for i in range(0, len(rows), BLOCK):
+            x, owner = encode(rows[i : i + BLOCK])
             np.maximum.at(kernel, i + owner, chosen.kernel(x))
         n_good = len(rows) - len(negative)
         label = np.concatenate([np.ones(n_good), -np.ones(len(negative))])
@@ -278,7 +286,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         model = Model(chosen.table(root @ w), float(b))
         margin = model.margins(words)
         hard = np.flatnonzero((margin > -0.9) & (good >= 0.2 * seen) & ~witness)
-        hard = hard[np.argsort(-(margin[hard] + 1) * good[hard], kind="stable")]
+        hard = hard[np.argsort(-(margin[hard] + 1) * good[hard], kind="stable")][:NEGATIVES]
         negative = np.unique(np.concatenate([negative, hard]))
         witness = witness | ((size >= 3) & (bad >= 1) & (good == 0) & (margin > 0.5))
     # the threshold is that of the fewest errors on the labelled texts, midway between the margins that it parts
@@ -309,7 +317,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in common.slices(whole.column(1), PART_BYTES)):
             best, hits = m.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits > 0), pa.array(best.round(6)), pa.array(hits)], ["doc_id", "toxic", "margin", "hits"])
 
