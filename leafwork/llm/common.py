@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 TOKENIZERS = "/opt/tokenizers"
 SLICE_BYTES = 4 << 20
@@ -19,6 +20,16 @@ _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most ``rows`` documents at once, where the session leaves Spark's default of 10,000.
+
+    Lists of words take several times the memory of the texts, and two workers may share an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -60,6 +71,16 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = to
 
 
+def parts(lists: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lists have about ``most`` items together (one list may have more)."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(lists):
+        to = min(len(lists), max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1))
+        yield at, to
+        at = to
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and offsets of each text's words.
 

@@ -23,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import bpe
+from leafwork.llm import bpe, common
 
 BLOCK = 128
 #: (count, bits) by selector; 0 is the escape.
 SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (120, 0))
 _ORDER = (15, *range(1, 15), 0)
-_most_words = 1_000_000
+_most_words = 400_000
 _words: dict[str, np.ndarray] = {}
 
 
@@ -157,7 +157,7 @@ def _ids(words: list[str], path: str) -> list[np.ndarray]:
 
 def _packed(path: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in common.parts(whole.column(1), bpe.PART)):
             lists = batch.column(1)
             words = lists.flatten().dictionary_encode()
             table = _ids(words.dictionary.to_pylist(), path)
