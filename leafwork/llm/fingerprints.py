@@ -29,33 +29,28 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def densify(m: np.ndarray) -> np.ndarray:
-    """Fill the empty bins of each row (no row is all empty)."""
-    full, todo = m != _EMPTY, m == _EMPTY
-    attempt = 0
-    while todo.any():
+    """Fill the empty bins of each row (no row is all empty); only bins that are still empty draw again."""
+    bins = m.shape[1]
+    row, own = np.nonzero(m == _EMPTY)
+    out, attempt = m.copy(), 0
+    while len(row):
         attempt += 1
-        bins = np.arange(m.shape[1], dtype=np.uint64)
-        draw = (common.mix(bins * np.uint64(0x10001) + np.uint64(attempt << 32)) % np.uint64(m.shape[1])).astype(np.int64)
-        hit = todo & full[:, draw]
-        m = np.where(hit, m[:, draw], m)
-        todo &= ~hit
-    return m
+        draw = common.mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x10001) + np.uint64(attempt << 32)) % np.uint64(bins)
+        value = m[row, draw.astype(np.int64)[own]]
+        hit = value != _EMPTY
+        out[row[hit], own[hit]] = value[hit]
+        row, own = row[~hit], own[~hit]
+    return out
 
 
 def bin_minima(texts: pa.Array, bins: int = BINS, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """A row of minima per text (all ``_EMPTY`` without shingles) and the number of distinct shingles."""
+    """A row of minima per text (all ``_EMPTY`` without shingles) and the number of shingles."""
     h, at = common.shingles(texts, width)
-    n = len(at) - 1
-    row = np.repeat(np.arange(n), np.diff(at))
-    cell = row * bins + (h >> np.uint64(40)).astype(np.int64) % bins
-    value = h & np.uint64((1 << 40) - 1)
-    order = np.lexsort((value, cell))
-    cell, value = cell[order], value[order]
-    first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
-    distinct = first | np.concatenate([[False], value[1:] != value[:-1]]) if len(cell) else first
-    m = np.full(n * bins, _EMPTY)
-    m[cell[first]] = value[first]
-    return m.reshape(n, bins), np.bincount(cell[distinct] // bins, minlength=n)
+    count = np.diff(at)
+    cell = np.repeat(np.arange(len(count)) * bins, count) + (h >> np.uint64(40)).astype(np.int64) % bins
+    m = np.full(len(count) * bins, _EMPTY)
+    np.minimum.at(m, cell, h & np.uint64((1 << 40) - 1))
+    return m.reshape(-1, bins), count
 
 
 def pack(m: np.ndarray, bits: int = BITS) -> np.ndarray:
