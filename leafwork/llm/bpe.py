@@ -33,6 +33,8 @@ from leafwork.session import cut
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = f"{common.TOKENIZERS}/byte_bpe_50k.tiktoken"
 BROADCAST_BYTES = 256 << 20
+#: Words or ids that are worked on together.
+PART = 1 << 18
 
 
 @functools.cache
@@ -83,7 +85,7 @@ def lay_out(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray
 def _by_position(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, at, flat = shared.value
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in common.parts(whole.column(1), PART)):
             lists = batch.column(1)
             words = lists.flatten().dictionary_encode()
             own = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
@@ -102,6 +104,7 @@ def _by_position(shared):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, ids)`` of every document."""
+    common.small_batches(docs.sparkSession)
     table = cut(word_table(docs, text_col, path))
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(text_col).alias("words"))
     found = table.agg(F.count("*").alias("n"), F.count_distinct("hash").alias("d"), F.sum(F.size("ids")).alias("ids")).first()
@@ -128,7 +131,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in common.parts(whole.column(1), PART)):
             lists = batch.column(1)
             flat = lists.flatten()
             known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, pa.scalar(None, pa.int32()))
