@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from leafwork.operators.islands import by_page
+
 BOXES = ["x0", "y0", "x1", "y1"]
 
 
@@ -68,7 +70,7 @@ def gutters(spans: DataFrame, width: float = 595.0, height: float = 842.0) -> Da
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "boundaries": [find_gutters(pdf.sort_values("seq")[BOXES].to_numpy(float), width, height)]})
 
-    return spans.select("doc_id", "page", "seq", *BOXES).groupBy("doc_id", "page").applyInPandas(one, "doc_id long, page int, boundaries array<double>")
+    return by_page(spans.select("doc_id", "page", "seq", *BOXES)).applyInPandas(one, "doc_id long, page int, boundaries array<double>")
 
 
 def cut_order(boxes: np.ndarray, rtl: bool = False, gap: float = 14.0, deepest: int = 12) -> list[int]:
@@ -111,7 +113,7 @@ def xy_cut(regions: DataFrame, rtl: bool = False) -> DataFrame:
         seq = pdf["seq"].to_numpy()[order]
         return pd.DataFrame({"doc_id": key[0], "page": key[1], "seq": seq, "place": np.arange(len(seq))})
 
-    return regions.select("doc_id", "page", "seq", *BOXES).groupBy("doc_id", "page").applyInPandas(one, "doc_id long, page int, seq long, place long")
+    return by_page(regions.select("doc_id", "page", "seq", *BOXES)).applyInPandas(one, "doc_id long, page int, seq long, place long")
 
 
 def group_lines(y: np.ndarray, size: np.ndarray, factor: float = 0.5) -> np.ndarray:
@@ -138,4 +140,4 @@ def span_lines(spans: DataFrame, factor: float = 0.5) -> DataFrame:
         lines = group_lines(((pdf["y0"] + pdf["y1"]) / 2).to_numpy(float), pdf["size"].to_numpy(float), factor)
         return pd.DataFrame({"doc_id": key[0], "page": key[1], "seq": pdf["seq"].to_numpy(), "line_no": lines})
 
-    return spans.select("doc_id", "page", "seq", "y0", "y1", "size").groupBy("doc_id", "page").applyInPandas(one, "doc_id long, page int, seq long, line_no long")
+    return by_page(spans.select("doc_id", "page", "seq", "y0", "y1", "size")).applyInPandas(one, "doc_id long, page int, seq long, line_no long")

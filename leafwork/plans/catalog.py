@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafwork.plans import blocks, geometry, layout, quality, script
+from leafwork.plans import blocks, detect, geometry, layout, quality, script
 
-MODULES = (geometry, script, layout, blocks, quality)
+MODULES = (geometry, script, layout, blocks, detect, quality)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

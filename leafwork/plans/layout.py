@@ -132,14 +132,14 @@ def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel that holds most of each word, if more than 0.6 of it."""
-    w = D.words(spark, sf_dir).where("page = 1").select(*PG, "seq", "x0", "y0", "x1", "y1")
+    w = D.words(spark, sf_dir).select(*PG, "seq", "x0", "y0", "x1", "y1")
     score = geom.containment("", "p_")
     return best_match(w, _panels(spark, sf_dir), PG, score, score > 0.6, ["seq"], F.col("panel"), "panel").select(*PG, "seq", F.col("owner").alias("panel"))
 
 
 def line_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with the largest share of each line; the first of equals."""
-    ln = text_lines(spark, sf_dir).where("page = 1").select(*PG, "line", "x0", "y0", "x1", "y1")
+    ln = text_lines(spark, sf_dir).select(*PG, "line", "x0", "y0", "x1", "y1")
     score = geom.containment("", "p_")
     return best_match(ln, _panels(spark, sf_dir), PG, score, score > 1e-6, ["line"], F.col("panel"), "panel").select(*PG, "line", F.col("owner").alias("panel"))
 
@@ -151,7 +151,7 @@ _SHARE = "greatest(0, least(x1, p1) - greatest(x0, p0)) * greatest(0, least(y1,
 
 def flow_spans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of which no panel holds more than half."""
-    w = D.words(spark, sf_dir).where("page = 1")
+    w = D.words(spark, sf_dir)
     p = _panels(spark, sf_dir)
     inside = (w["doc_id"] == p["doc_id"]) & (w["page"] == p["page"]) & (geom.containment("", "p_") > 0.5)
     return w.join(p, inside, "left_anti").select(*PG, "seq")
@@ -171,14 +171,14 @@ FROM f JOIN w_paras USING (doc_id, page) GROUP BY ALL"""
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised words (confidence at least 0) to lines by place, lines to paragraphs by height."""
-    w = D.words(spark, sf_dir).where((F.col("seq") % 11 != 7) & (F.col("page") <= 2))
+    """Recognised words to lines by place, lines to paragraphs by height; every eleventh word has no confidence and is left out."""
+    w = D.words(spark, sf_dir).where(F.col("seq") % 11 != 7)
     ln = w.groupBy(*PG, "col", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda s: s["text"]), " ").alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "line", "t"))), lambda s: s["t"]), "\n")
     return ln.groupBy(*PG, "col").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-_OCR = f"""WITH {D.WORDS}, l AS (SELECT doc_id, page, col, line, string_agg(text, ' ' ORDER BY x0, seq) AS t, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM w_words WHERE seq % 11 <> 7 AND page <= 2 GROUP BY ALL)
+_OCR = f"""WITH {D.WORDS}, l AS (SELECT doc_id, page, col, line, string_agg(text, ' ' ORDER BY x0, seq) AS t, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM w_words WHERE seq % 11 <> 7 GROUP BY ALL)
 SELECT doc_id, page, col, string_agg(t, chr(10) ORDER BY y0, line) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l GROUP BY ALL"""
 
 
@@ -204,7 +204,7 @@ SQL = {
     "ruled_table_cells": _CELLS,
     "span_owner": f"WITH {D.WORDS}, {D.FILLS}, {_PANELS} SELECT doc_id, page, seq, panel FROM (SELECT doc_id, page, seq, panel, row_number() OVER (PARTITION BY doc_id, seq ORDER BY s DESC, panel) AS k FROM (SELECT *, {_SHARE} AS s FROM w_words JOIN w_panels USING (doc_id, page)) WHERE s > 0.6) WHERE k = 1",
     "line_owner": f"WITH {D.WORDS}, {LINES}, {D.FILLS}, {_PANELS} SELECT doc_id, page, line, panel FROM (SELECT doc_id, page, line, panel, row_number() OVER (PARTITION BY doc_id, line ORDER BY s DESC, panel) AS k FROM (SELECT *, {_SHARE} AS s FROM w_lines JOIN w_panels USING (doc_id, page)) WHERE s > 1e-6) WHERE k = 1",
-    "flow_spans_anti": f"WITH {D.WORDS}, {D.FILLS}, {_PANELS} SELECT doc_id, page, seq FROM w_words WHERE page = 1 AND (doc_id, seq) NOT IN (SELECT (doc_id, seq) FROM w_words JOIN w_panels USING (doc_id, page) WHERE {_SHARE} > 0.5)",
+    "flow_spans_anti": f"WITH {D.WORDS}, {D.FILLS}, {_PANELS} SELECT doc_id, page, seq FROM w_words WHERE (doc_id, seq) NOT IN (SELECT (doc_id, seq) FROM w_words JOIN w_panels USING (doc_id, page) WHERE {_SHARE} > 0.5)",
     "figure_captions": _CAPTIONS,
     "ocr_lines": _OCR,
     "born_digital_pages": f"WITH {D.WORDS} SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) > 60 AS born_digital FROM w_words GROUP BY ALL",

@@ -15,8 +15,9 @@ PG = ["doc_id", "page"]
 
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold grids, and predictions that lose a row or garble a cell by the number of the table."""
-    g = blocks._grids(spark, sf_dir).where("doc_id % 50 < 5 and size(grid) >= 2")
+    """A grid of nations a region, and predictions that lose a row or garble a cell by the number of the region."""
+    n = D.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r")).alias("row"))
+    g = n.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["r"]).alias("grid"))
     rows = F.slice("grid", F.lit(1), F.size("grid") - (F.col("doc_id") % 2).cast("int"))
     return g.select("doc_id", "grid", F.transform(rows, lambda r, i: F.when((i == 0) & (F.col("doc_id") % 3 == 0), F.transform(r, lambda c, j: F.when(j == 0, F.lit("?")).otherwise(c))).otherwise(r)).alias("pred"))
 
@@ -31,8 +32,8 @@ def cell_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of documents as gold, and shuffled by number as prediction."""
-    d = D.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.substring(x, 1, 60)), lambda x: x != "").alias("gold"))
+    """Names of a region's nations as gold, and as prediction backwards or without the first by the number of the region."""
+    d = _damaged(spark, sf_dir).select("doc_id", F.transform("grid", lambda r: r[1]).alias("gold"))
     n = F.size("gold")
     turned = F.when(F.col("doc_id") % 3 == 0, F.reverse("gold")).when((F.col("doc_id") % 3 == 1) & (n > 1), F.slice("gold", F.lit(2), n - 1)).otherwise(F.col("gold"))
     return d.withColumn("pred", turned)
@@ -53,10 +54,10 @@ def space_glyph_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs of blocks that are drawn twice: boxes alike (0.5) and the same letters (0.92)."""
-    p = layout.paragraphs(spark, sf_dir).where("page = 1").select("doc_id", "col", "x0", "y0", "x1", "y1", "text")
-    b = p.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where("copy = 0 or doc_id % 3 = 0").select("doc_id", (F.col("col") * 2 + F.col("copy")).alias("block"), (F.col("x0") + 4 * F.col("copy")).alias("x0"), (F.col("y0") + 3 * F.col("copy")).alias("y0"), (F.col("x1") + 4 * F.col("copy")).alias("x1"), (F.col("y1") + 3 * F.col("copy")).alias("y1"), F.regexp_replace(F.lower("text"), r"\P{L}", "").alias("letters"))
-    side = lambda q: b.select("doc_id", *[F.col(c).alias(q + c) for c in ("block", "x0", "y0", "x1", "y1", "letters")])
-    near = side("a_").join(side("b_"), "doc_id").where("a_block < b_block").where(geom.iou("a_", "b_") >= 0.5).select("doc_id", "a_block", "b_block", "a_letters", "b_letters")
+    p = layout.paragraphs(spark, sf_dir).select("doc_id", (F.col("page") * 2 + F.col("col")).alias("col"), "page", "x0", "y0", "x1", "y1", "text")
+    b = p.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where("copy = 0 or doc_id % 3 = 0").select("doc_id", "page", (F.col("col") * 2 + F.col("copy")).alias("block"), (F.col("x0") + 4 * F.col("copy")).alias("x0"), (F.col("y0") + 3 * F.col("copy")).alias("y0"), (F.col("x1") + 4 * F.col("copy")).alias("x1"), (F.col("y1") + 3 * F.col("copy")).alias("y1"), F.regexp_replace(F.lower("text"), r"\P{L}", "").alias("letters"))
+    side = lambda q: b.select("doc_id", "page", *[F.col(c).alias(q + c) for c in ("block", "x0", "y0", "x1", "y1", "letters")])
+    near = side("a_").join(side("b_"), ["doc_id", "page"]).where("a_block < b_block").where(geom.iou("a_", "b_") >= 0.5).select("doc_id", "a_block", "b_block", "a_letters", "b_letters")
     bag = lambda c, n: near.select("doc_id", "a_block", "b_block", F.explode(F.split(c, "")).alias("c")).where("c <> ''").groupBy("doc_id", "a_block", "b_block", "c").agg(F.count("*").alias(n))
     both = bag("a_letters", "m").join(bag("b_letters", "n"), ["doc_id", "a_block", "b_block", "c"], "full").na.fill(0, ["m", "n"])
     sim = both.groupBy("doc_id", "a_block", "b_block").agg(F.sum(F.least("m", "n")).alias("i"), F.sum(F.greatest("m", "n")).alias("u"))
@@ -99,8 +100,8 @@ def hardest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parser_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean likeness of three ways to give a document's first 80 ASCII characters, overall and by language."""
-    d = D.table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring(F.regexp_replace("text", r"[^\x20-\x7e]+", " "), 1, 80).alias("gold"))
+    """Mean likeness of three ways to give a document's lines in ASCII, overall and by language."""
+    d = D.table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.regexp_replace("text", r"[^\n\x20-\x7e]+", " "), "\n")).alias("gold"))
     ways = {"whole": F.col("gold"), "lower": F.lower("gold"), "words": F.array_join(F.reverse(F.split("gold", " ")), " ")}
     p = d.select("lang", "gold", F.explode(F.create_map(*[x for k, v in ways.items() for x in (F.lit(k), v)])).alias("parser", "text"))
     s = p.withColumn("score", 1 - F.levenshtein("gold", "text") / F.greatest(F.length("gold"), F.length("text"), F.lit(1)))
@@ -131,15 +132,15 @@ QUERIES = {f.__name__: f for f in (teds, cell_score, reading_order_score, space_
 _FIRED = "SELECT doc_id, page, array_to_string(f, ',') AS fired, CAST(len(f) AS INTEGER) AS consensus FROM (SELECT doc_id, page, list_filter([CASE WHEN sparse THEN 'sparse' END, CASE WHEN fragmented THEN 'fragmented' END, CASE WHEN repeated THEN 'repeated' END, CASE WHEN covered THEN 'covered' END], lambda x: x IS NOT NULL) AS f FROM s)"
 SQL = {
     "space_glyph_consensus": "WITH c AS (SELECT doc_id, 'font' || doc_id % 3 AS font, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''), g AS (SELECT doc_id, font, i, c, CAST(CASE WHEN c IN (' ', chr(10)) THEN 3 ELSE ord(c) % 97 + 4 END AS INTEGER) AS gid FROM c) SELECT doc_id, font, gid, count(*) AS n, CAST(sum(CAST((CASE WHEN gid = 3 AND i % 5 = 0 THEN 'x' ELSE c END) IN (' ', chr(10)) AS INTEGER)) AS BIGINT) AS blank FROM g GROUP BY ALL HAVING count(*) >= 5 AND blank >= 0.6 * n",
-    "duplicate_blocks": f"""{layout._P}, b AS (SELECT doc_id, col * 2 + copy AS block, x0 + 4 * copy AS x0, y0 + 3 * copy AS y0, x1 + 4 * copy AS x1, y1 + 3 * copy AS y1, regexp_replace(lower(text), '\\P{{L}}', '', 'g') AS letters
-  FROM w_paras, (SELECT unnest([0, 1]) AS copy) WHERE page = 1 AND (copy = 0 OR doc_id % 3 = 0)),
-n AS (SELECT doc_id, a.block AS a_block, b.block AS b_block, a.letters AS al, b.letters AS bl FROM b a JOIN b USING (doc_id) WHERE a.block < b.block AND {"greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"} >= 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {"greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"})),
+    "duplicate_blocks": f"""{layout._P}, b AS (SELECT doc_id, page, (page * 2 + col) * 2 + copy AS block, x0 + 4 * copy AS x0, y0 + 3 * copy AS y0, x1 + 4 * copy AS x1, y1 + 3 * copy AS y1, regexp_replace(lower(text), '\\P{{L}}', '', 'g') AS letters
+  FROM w_paras, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR doc_id % 3 = 0),
+n AS (SELECT doc_id, a.block AS a_block, b.block AS b_block, a.letters AS al, b.letters AS bl FROM b a JOIN b USING (doc_id, page) WHERE a.block < b.block AND {"greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"} >= 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {"greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"})),
 x AS (SELECT doc_id, a_block, b_block, c, sum(m) AS m, sum(k) AS k FROM (SELECT doc_id, a_block, b_block, unnest(string_split(al, '')) AS c, 1 AS m, 0 AS k FROM n UNION ALL SELECT doc_id, a_block, b_block, unnest(string_split(bl, '')), 0, 1 FROM n) WHERE c <> '' GROUP BY ALL)
 SELECT doc_id, a_block, b_block FROM x GROUP BY ALL HAVING sum(least(m, k)) >= 0.92 * sum(greatest(m, k))""",
     "hardness_consensus": f"{_SIGNALS} {_FIRED}",
     "hardness_report": f"{_SIGNALS} SELECT signal, CAST(sum(CAST(f AS INTEGER)) AS BIGINT) AS pages FROM (SELECT unnest(['sparse', 'fragmented', 'repeated', 'covered']) AS signal, unnest([sparse, fragmented, repeated, covered]) AS f FROM s) GROUP BY signal",
     "hardest_pages": f"{_SIGNALS} {_FIRED} ORDER BY consensus DESC, doc_id, page LIMIT 10",
-    "parser_matrix": r"WITH d AS (SELECT lang, substr(regexp_replace(text, '[^\x20-\x7e]+', ' ', 'g'), 1, 80) AS gold FROM documents), p AS (SELECT lang, gold, unnest(['whole', 'lower', 'words']) AS parser, unnest([gold, lower(gold), array_to_string(list_reverse(string_split(gold, ' ')), ' ')]) AS t FROM d), s AS (SELECT *, 1 - levenshtein(gold, t)::DOUBLE / greatest(length(gold), length(t), 1) AS score FROM p) SELECT parser, coalesce(lang, 'all') AS doc_type, CAST(round_even(avg(score) * 100000, 0) AS BIGINT) AS score, count(*) AS n FROM s GROUP BY GROUPING SETS ((parser), (parser, lang))",
+    "parser_matrix": r"WITH d AS (SELECT lang, unnest(string_split(regexp_replace(text, '[^\n\x20-\x7e]+', ' ', 'g'), chr(10))) AS gold FROM documents), p AS (SELECT lang, gold, unnest(['whole', 'lower', 'words']) AS parser, unnest([gold, lower(gold), array_to_string(list_reverse(string_split(gold, ' ')), ' ')]) AS t FROM d), s AS (SELECT *, 1 - levenshtein(gold, t)::DOUBLE / greatest(length(gold), length(t), 1) AS score FROM p) SELECT parser, coalesce(lang, 'all') AS doc_type, CAST(round_even(avg(score) * 100000, 0) AS BIGINT) AS score, count(*) AS n FROM s GROUP BY GROUPING SETS ((parser), (parser, lang))",
     "invariant_summary": f"SELECT 'presentation_forms' AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'ragged_tables', count(*) FILTER (WHERE k > 1) FROM ({blocks._GRIDS} SELECT doc_id, count(DISTINCT len(cells)) AS k FROM r GROUP BY doc_id) UNION ALL SELECT 'empty_pages', count(*) FILTER (WHERE chars = 0) FROM ({layout.SQL['born_digital_pages']}) UNION ALL SELECT 'needs_ocr', count(*) FILTER (WHERE NOT born_digital) FROM ({layout.SQL['born_digital_pages']})",
     "pixmap_colours": "SELECT vec_id, place, bucket, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, bucket) AS INTEGER) AS place FROM (SELECT vec_id, CAST(trunc(floor((v + 4) * 32) / 8) AS INTEGER) AS bucket, count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY ALL)) WHERE place <= 3",
 }

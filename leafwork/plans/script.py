@@ -38,7 +38,7 @@ def digit_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mirror_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("("), F.substring("text", 1, 40), F.lit(")[x]{<y>}«")).alias("raw"))
+    d = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("("), "text", F.lit(")[x]{<y>}«")).alias("raw"))
     return d.select("doc_id", F.translate("raw", S.FRONT, S.BACK).alias("mirrored"))
 
 
@@ -114,32 +114,32 @@ def chip_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bidi_line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of glyphs in logical order, for the first 60 glyphs of each line.
+    """Lines of sixty glyphs in logical order.
 
     Glyphs stand 5 points apart by place, words 6 more. A line without a right-to-left glyph reads by rising place. Else it
     reads by falling place, runs of left-to-right glyphs within it read rising, and brackets outside of them are mirrored. A
     neutral belongs to such a run if the nearest strong glyphs on both sides do.
     """
-    chars = D.arabic(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), "")).alias("x", "c"))
-    by = Window.partitionBy("doc_id")
+    chars = D.arabic(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "")).alias("x", "c")).where("c <> ''").withColumn("no", F.floor(F.col("x") / 60))
+    by = Window.partitionBy("doc_id", "no")
     g = chars.withColumn("k", S.strong_class(F.col("c"))).withColumn("strong", F.when(F.col("k") != "N", F.col("k"))).withColumn("rtl", F.max(F.col("k") == "R").over(by))
     down = by.orderBy(F.desc("x"))
     before, after = F.last("strong", True).over(down.rowsBetween(Window.unboundedPreceding, 0)), F.first("strong", True).over(down.rowsBetween(0, Window.unboundedFollowing))
     g = g.withColumn("r", F.when(F.col("k") == "N", F.when((before == "L") & (after == "L"), "L").otherwise("R")).otherwise(F.col("k")))
-    g = islands(g, ["doc_id"], [F.desc("x")], F.lag("r").over(down) != F.col("r"), "run")
+    g = islands(g, ["doc_id", "no"], [F.desc("x")], F.lag("r").over(down) != F.col("r"), "run")
     key = F.when(~F.col("rtl"), F.struct(F.lit(0).cast("long").alias("run"), F.col("x").alias("x"))).otherwise(F.struct("run", F.when(F.col("r") == "L", F.col("x")).otherwise(-F.col("x")).alias("x")))
     shown = F.when(F.col("rtl") & (F.col("r") == "R"), F.translate("c", S.FRONT, S.BACK)).otherwise(F.col("c"))
-    return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), shown.alias("c")))), lambda s: s["c"]), "").alias("line"))
+    return g.groupBy("doc_id", "no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), shown.alias("c")))), lambda s: s["c"]), "").alias("line"))
 
 
-_BIDI = f"""WITH {D.ARABIC}, ch AS (SELECT doc_id, unnest(string_split(substr(text, 1, 60), '')) AS c, unnest(range(len(string_split(substr(text, 1, 60), '')))) AS x FROM w_arabic WHERE text <> ''),
+_BIDI = f"""WITH {D.ARABIC}, ch AS (SELECT *, x // 60 AS no FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, '')))) AS x FROM w_arabic WHERE text <> '')),
 g AS (SELECT *, CASE WHEN regexp_matches(c, '[\\x{{0590}}-\\x{{08ff}}\\x{{fb1d}}-\\x{{fdff}}\\x{{fe70}}-\\x{{feff}}]') THEN 'R' WHEN regexp_matches(c, '[A-Za-z\\x{{c0}}-\\x{{024f}}0-9]') THEN 'L' ELSE 'N' END AS k FROM ch),
-h AS (SELECT *, max(k = 'R') OVER (PARTITION BY doc_id) AS rtl, last_value(nullif(k, 'N') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS b,
-  first_value(nullif(k, 'N') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM g),
+h AS (SELECT *, max(k = 'R') OVER (PARTITION BY doc_id, no) AS rtl, last_value(nullif(k, 'N') IGNORE NULLS) OVER (PARTITION BY doc_id, no ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS b,
+  first_value(nullif(k, 'N') IGNORE NULLS) OVER (PARTITION BY doc_id, no ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM g),
 r AS (SELECT *, CASE WHEN k <> 'N' THEN k WHEN b = 'L' AND a = 'L' THEN 'L' ELSE 'R' END AS r FROM h),
-i AS (SELECT *, CASE WHEN lag(r) OVER (PARTITION BY doc_id ORDER BY x DESC) <> r THEN 1 ELSE 0 END AS br FROM r),
-n AS (SELECT *, sum(br) OVER (PARTITION BY doc_id ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS run FROM i)
-SELECT doc_id, string_agg(CASE WHEN rtl AND r = 'R' THEN translate(c, '{S.FRONT}', '{S.BACK}') ELSE c END, '' ORDER BY CASE WHEN rtl THEN run ELSE 0 END, CASE WHEN rtl AND r = 'R' THEN -x ELSE x END) AS line FROM n GROUP BY doc_id"""
+i AS (SELECT *, CASE WHEN lag(r) OVER (PARTITION BY doc_id, no ORDER BY x DESC) <> r THEN 1 ELSE 0 END AS br FROM r),
+n AS (SELECT *, sum(br) OVER (PARTITION BY doc_id, no ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS run FROM i)
+SELECT doc_id, no, string_agg(CASE WHEN rtl AND r = 'R' THEN translate(c, '{S.FRONT}', '{S.BACK}') ELSE c END, '' ORDER BY CASE WHEN rtl THEN run ELSE 0 END, CASE WHEN rtl AND r = 'R' THEN -x ELSE x END) AS line FROM n GROUP BY doc_id, no"""
 
 
 def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +168,11 @@ def coverage_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness by edits of the first 120 ASCII characters of neighbours, in millionths."""
-    d = D.table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"[^\x20-\x7e]+", " "), 1, 120).alias("a"))
-    j = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    """Likeness by edits of each line and the one after it, in ASCII, in millionths."""
+    d = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"[^\n\x20-\x7e]+", " "), "\n")).alias("i", "a"))
+    j = d.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("i"))).where("b is not null")
     most = F.greatest(F.length("a"), F.length("b"))
-    return j.select("doc_id", F.when(most == 0, 1_000_000).otherwise(F.rint((1 - F.levenshtein("a", "b") / most) * 1_000_000)).cast("long").alias("millionths"))
+    return j.select("doc_id", "i", F.when(most == 0, 1_000_000).otherwise(F.rint((1 - F.levenshtein("a", "b") / most) * 1_000_000)).cast("long").alias("millionths"))
 
 
 def repeated_span_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ SQL = {
     "orientation_score": f"WITH {D.ARABIC}, {_MAP}, d AS (SELECT doc_id, {_deshape_sql('text')} AS t FROM w_arabic, fm) SELECT doc_id, {_orientation_sql('t')} AS forward, {_orientation_sql(_reverse_sql('t'))} AS backward FROM d",
     "reverse_runs": f"WITH {D.ARABIC} SELECT doc_id, {_reverse_sql('text')} AS text FROM w_arabic",
     "digit_folding": f"SELECT doc_id, translate(CAST(n_chars AS VARCHAR), '0123456789', '{S.EASTERN[:10]}') || '-' || translate(CAST(doc_id AS VARCHAR), '0123456789', '{S.EASTERN[10:]}') AS raw, n_chars || '-' || doc_id AS folded FROM documents",
-    "mirror_brackets": f"SELECT doc_id, translate('(' || substr(text, 1, 40) || ')[x]{{<y>}}«', '{S.FRONT}', '{S.BACK}') AS mirrored FROM documents",
+    "mirror_brackets": f"SELECT doc_id, translate('(' || text || ')[x]{{<y>}}«', '{S.FRONT}', '{S.BACK}') AS mirrored FROM documents",
     "normalize_text": _NORMALIZE,
     "numeric_cells": f"WITH {D.GRID} SELECT doc_id, seq, t <> '' AND {_NUM} AS numeric FROM (SELECT doc_id, seq, trim(CASE WHEN rank = 7 THEN '—' WHEN c = 0 AND rank = 6 THEN '$' ELSE text END) AS t FROM w_grid)",
     "list_markers": r"SELECT doc_id, i, label, regexp_matches(regexp_replace(label, '^\s+|\s+$', '', 'g'), '^[•‣◦●○▪▫∙·oO*\-–—]$|^\(?[0-9]{1,3}([.)]|[-–—][0-9]{1,3})?$|^\(?[a-zA-Z][.)]$') AS marker FROM (SELECT doc_id, CAST(unnest(range(6)) AS INTEGER) AS i, unnest(['(' || doc_id % 120 || ')', doc_id % 2000 || '.', substr(text, 1, 1) || ')', substr(text, 1, 2), '•', doc_id % 90 || '-' || doc_id % 7]) AS label FROM documents)",
@@ -207,6 +207,6 @@ SQL = {
     "bidi_line_text": _BIDI,
     "letter_bag_jaccard": f"WITH {_BAGS} SELECT doc_id, CAST(round_even(sum(least(n, m))::DOUBLE / sum(greatest(n, m)) * 1000000, 0) AS BIGINT) AS millionths FROM bags GROUP BY doc_id",
     "coverage_excess": f"WITH {_BAGS} SELECT doc_id, CAST(round_even(sum(least(n, m))::DOUBLE / sum(n) * 1000000, 0) AS BIGINT) AS coverage, CAST(round_even(sum(greatest(m - n, 0))::DOUBLE / sum(n) * 1000000, 0) AS BIGINT) AS excess FROM bags GROUP BY doc_id HAVING sum(n) > 0",
-    "edit_score": r"WITH d AS (SELECT doc_id, substr(regexp_replace(text, '[^\x20-\x7e]+', ' ', 'g'), 1, 120) AS a FROM documents) SELECT p.doc_id, CASE WHEN greatest(length(p.a), length(q.a)) = 0 THEN 1000000 ELSE CAST(round_even((1 - levenshtein(p.a, q.a)::DOUBLE / greatest(length(p.a), length(q.a))) * 1000000, 0) AS BIGINT) END AS millionths FROM d p JOIN d q ON q.doc_id = p.doc_id + 1",
+    "edit_score": r"WITH d AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS i, unnest(s) AS a FROM (SELECT doc_id, string_split(regexp_replace(text, '[^\n\x20-\x7e]+', ' ', 'g'), chr(10)) AS s FROM documents)), j AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM d) SELECT doc_id, i, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1000000 ELSE CAST(round_even((1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) * 1000000, 0) AS BIGINT) END AS millionths FROM j WHERE b IS NOT NULL",
     "repeated_span_split": _SPLIT,
 }
