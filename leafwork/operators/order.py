@@ -15,7 +15,7 @@ from leafwork.operators.islands import by_page
 BOXES = ["x0", "y0", "x1", "y1"]
 
 
-def find_gutters(boxes: np.ndarray, width: float, height: float, min_gap: float = 10.0, most_ink: float = 0.04) -> list[float]:
+def find_gutters(boxes: np.ndarray, width: float, height: float, most_ink: float = 0.04, min_gap: float = 10.0) -> list[float]:
     """Column boundaries of a page: the first inked place, middles of its gutters, and the end of the last column."""
     if not len(boxes):
         return [0.0, width]

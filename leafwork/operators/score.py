@@ -30,10 +30,9 @@ def tidy(text: str) -> str:
     return " ".join(unicodedata.normalize("NFC", text).replace("ـ", "").split())
 
 
-def edit_similarity(a: str, b: str) -> float:
-    a, b = tidy(a), tidy(b)
-    most = max(len(a), len(b))
-    return 1 - distance(a, b) / most if most else 1.0
+def edit_similarity(text: str, gold: str) -> float:
+    x, y = tidy(text), tidy(gold)
+    return 1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0
 
 
 def claimed(pred: list[str], gold: list[str], least: float) -> list[int]:
@@ -58,12 +57,13 @@ def reading_order(pred: list[str], gold: list[str]) -> float:
     return max(0.0, 1 - (distance(seq, sorted(seq)) + len(gold) - len(seq)) / len(gold))
 
 
-def cell_score(pred: list[list[str]], gold: list[list[str]]) -> float:
-    """The share of gold cells that some predicted cell matches, each once."""
-    wanted = [tidy(c) for r in gold for c in r]
-    if not wanted:
-        return 1.0
-    return sum(g >= 0 for g in claimed([tidy(c) for r in pred for c in r], wanted, 0.7)) / len(wanted)
+Grid = list[list[str]]
+
+
+def cell_score(found: Grid, gold: Grid) -> float:
+    """How many of the gold cells some cell of the other grid matches, each once, as a share."""
+    wanted, offered = ([tidy(text) for row in grid for text in row] for grid in (gold, found))
+    return sum(g >= 0 for g in claimed(offered, wanted, 0.7)) / len(wanted) if wanted else 1.0
 
 
 @dataclass

@@ -17,7 +17,7 @@ from leafwork.operators.islands import by_page
 from leafwork.operators.order import group_lines
 
 SHORT = 18
-_NUMERIC = re.compile(r"[\s$€£¥%()+\-–—.,0-9٠-٩۰-۹]+")
+_NUMERIC = re.compile(r"[-—–+,.()%¥£€$٠-٩۰-۹0-9\s]+")
 _SECTION = re.compile(r"^(table|figure)\s+\d", re.I)
 
 
@@ -31,7 +31,7 @@ class Table:
 
 def is_numeric(text: str) -> bool:
     t = text.strip()
-    return bool(t and _NUMERIC.fullmatch(t) and (any(c.isdigit() for c in t) or t in "$€£¥%—–-"))
+    return bool(t and _NUMERIC.fullmatch(t) and (t in "$€£¥%—–-" or any(c.isdigit() for c in t)))
 
 
 def vote(edges: np.ndarray, tol: float) -> list[np.ndarray]:

@@ -63,7 +63,7 @@ def _is_arabic_sql(c: str) -> str:
 
 
 def _reverse_sql(c: str) -> str:
-    return f"translate(array_to_string(list_reverse(regexp_extract_all({c}, '(?s)[A-Za-z0-9][A-Za-z0-9.,:/\\-]*|.')), ''), '{S.FRONT}', '{S.BACK}')"
+    return f"translate(array_to_string(list_reverse(regexp_extract_all({c}, '(?s)[0-9A-Za-z][-/:,.0-9A-Za-z]*|.')), ''), '{S.FRONT}', '{S.BACK}')"
 
 
 def _orientation_sql(c: str) -> str:
@@ -78,7 +78,7 @@ _W = r"[\s\x{a0}]"
 
 def _punctuation_sql(c: str) -> str:
     """Two common table expressions, p1 and p2, from rows of ``c``."""
-    lead, tail = r"(?s)^([.،؛:!؟?]+)\s*(.+)$", r"(?s)^\.\s*(.*?)([\x{0660}-\x{0669}0-9]{1,2})\.?$"
+    lead, tail = r"(?s)^([?؟!:؛،.]+)\s*(.+)$", r"(?s)^\.\s*(.*?)([\x{0660}-\x{0669}0-9]{1,2})\.?$"
     t = f"regexp_replace({c}, '^{_W}+|{_W}+$', '', 'g')"
     strip = lambda x: f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
     a, b = f"regexp_extract(t, '{lead}', 1)", f"regexp_extract(t, '{lead}', 2)"
@@ -192,7 +192,7 @@ SELECT doc_id, CAST(unnest(range(len(w) // k)) AS INTEGER) AS i, array_to_string
 
 
 QUERIES = {f.__name__: f for f in (is_arabic, deshape, orientation_score, reverse_runs, digit_folding, mirror_brackets, normalize_text, numeric_cells, list_markers, chip_numbers, bidi_line_text, letter_bag_jaccard, coverage_excess, edit_score, repeated_span_split)}
-_NUM = r"regexp_matches(t, '^[\s$€£¥%()+\-–—.,0-9٠-٩۰-۹]+$') AND (regexp_matches(t, '[0-9٠-٩۰-۹]') OR contains('$€£¥%—–-', t))"
+_NUM = r"regexp_matches(t, '^[-—–+,.()%¥£€$٠-٩۰-۹0-9\s]+$') AND (regexp_matches(t, '[0-9٠-٩۰-۹]') OR contains('$€£¥%—–-', t))"
 SQL = {
     "is_arabic": f"WITH {D.ARABIC} SELECT doc_id, {_is_arabic_sql('text')} AS arabic, regexp_matches(text, '[\\x{{fb50}}-\\x{{fdff}}\\x{{fe70}}-\\x{{feff}}]') AS forms FROM w_arabic",
     "deshape": f"WITH {D.ARABIC}, {_MAP} SELECT doc_id, {_deshape_sql('text')} AS text FROM w_arabic, fm",
@@ -202,8 +202,8 @@ SQL = {
     "mirror_brackets": f"SELECT doc_id, translate('(' || text || ')[x]{{<y>}}«', '{S.FRONT}', '{S.BACK}') AS mirrored FROM documents",
     "normalize_text": _NORMALIZE,
     "numeric_cells": f"WITH {D.GRID} SELECT doc_id, seq, t <> '' AND {_NUM} AS numeric FROM (SELECT doc_id, seq, trim(CASE WHEN rank = 7 THEN '—' WHEN c = 0 AND rank = 6 THEN '$' ELSE text END) AS t FROM w_grid)",
-    "list_markers": r"SELECT doc_id, i, label, regexp_matches(regexp_replace(label, '^\s+|\s+$', '', 'g'), '^[•‣◦●○▪▫∙·oO*\-–—]$|^\(?[0-9]{1,3}([.)]|[-–—][0-9]{1,3})?$|^\(?[a-zA-Z][.)]$') AS marker FROM (SELECT doc_id, CAST(unnest(range(6)) AS INTEGER) AS i, unnest(['(' || doc_id % 120 || ')', doc_id % 2000 || '.', substr(text, 1, 1) || ')', substr(text, 1, 2), '•', doc_id % 90 || '-' || doc_id % 7]) AS label FROM documents)",
-    "chip_numbers": f"SELECT doc_id, label, CASE WHEN regexp_matches(label, '^[\\s٠-٩۰-۹0-9]{{1,3}}$') THEN TRY_CAST(trim(translate(label, '{S.EASTERN}', '01234567890123456789')) AS INTEGER) END AS number FROM (SELECT doc_id, unnest([CAST(n_chars % 3000 AS VARCHAR), translate(CAST(doc_id % 200 AS VARCHAR), '0123456789', '{S.EASTERN[:10]}'), 'x1']) AS label FROM documents)",
+    "list_markers": r"SELECT doc_id, i, label, regexp_matches(regexp_replace(label, '^\s+|\s+$', '', 'g'), '^[-*oO—–·∙▫▪○●◦‣•]$|^\(?[0-9]{1,3}(?:[).]|[—–-][0-9]{1,3})?$|^\(?[A-Za-z][).]$') AS marker FROM (SELECT doc_id, CAST(unnest(range(6)) AS INTEGER) AS i, unnest(['(' || doc_id % 120 || ')', doc_id % 2000 || '.', substr(text, 1, 1) || ')', substr(text, 1, 2), '•', doc_id % 90 || '-' || doc_id % 7]) AS label FROM documents)",
+    "chip_numbers": f"SELECT doc_id, label, CASE WHEN regexp_matches(label, '^[0-9٠-٩۰-۹\\s]{{1,3}}$') THEN TRY_CAST(trim(translate(label, '{S.EASTERN}', '01234567890123456789')) AS INTEGER) END AS number FROM (SELECT doc_id, unnest([CAST(n_chars % 3000 AS VARCHAR), translate(CAST(doc_id % 200 AS VARCHAR), '0123456789', '{S.EASTERN[:10]}'), 'x1']) AS label FROM documents)",
     "bidi_line_text": _BIDI,
     "letter_bag_jaccard": f"WITH {_BAGS} SELECT doc_id, CAST(round_even(sum(least(n, m))::DOUBLE / sum(greatest(n, m)) * 1000000, 0) AS BIGINT) AS millionths FROM bags GROUP BY doc_id",
     "coverage_excess": f"WITH {_BAGS} SELECT doc_id, CAST(round_even(sum(least(n, m))::DOUBLE / sum(n) * 1000000, 0) AS BIGINT) AS coverage, CAST(round_even(sum(greatest(m - n, 0))::DOUBLE / sum(n) * 1000000, 0) AS BIGINT) AS excess FROM bags GROUP BY doc_id HAVING sum(n) > 0",
