@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 TOKENIZERS = "/opt/tokenizers"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = np.zeros(256, bool)

@@ -35,7 +35,7 @@ DIM = 16
 SAMPLE = 2000
 EPOCHS = 4
 RATE = 0.4
-RISK = 0.005
+RISK = 0.05
 #: Below this calibrated confidence a text is rejected in any case.
 LEAST = 0.5
 #: Stretches that each training text gives besides itself, and their least and most bytes.
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, language, confidence, accepted)`` of every document; a rejected one keeps its best guess."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +187,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is accepted; columns as they were."""
+    common.small_batches(docs.sparkSession)
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
