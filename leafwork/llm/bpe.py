@@ -79,7 +79,10 @@ def lay_out(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray
     """``flat[start:start + size]`` of every item, one after the other."""
     end = np.cumsum(size)
     total = int(end[-1]) if len(end) else 0
-    return flat[np.repeat(start - (end - size), size) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    place = np.repeat((start - (end - size)).astype(kind), size)
+    place += np.arange(total, dtype=kind)
+    return flat[place]
 
 
 def _by_position(shared):
@@ -117,7 +120,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         size = np.diff(lists.offsets.to_numpy())
         flat = lay_out(start[order].astype(np.int64), size[order], lists.values.to_numpy())
         at = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32)
-        shared = docs.sparkSession.sparkContext.broadcast((hashes[order], at, flat))
+        hashes = hashes[order]
+        del got, lists, start, size, order
+        shared = docs.sparkSession.sparkContext.broadcast((hashes, at, flat))
         return words.mapInArrow(_by_position(shared), "doc_id long, ids array<int>")
     rows = cut(words.withColumn("row", F.monotonically_increasing_id()))
     placed = rows.select("row", F.posexplode("words").alias("place", "word")).join(table.select("word", "ids"), "word")
