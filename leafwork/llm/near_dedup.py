@@ -6,6 +6,11 @@ child per picked position, keyed by the value there: documents of Jaccard simila
 on average. Nodes of one document end, small ones are compared exhaustively, and in the others documents whose mean
 similarity to the node is near the threshold are compared with the whole node while the rest branch on.
 
+The chance that a pair at the threshold is still together after some levels falls with their number, so trees are repeated
+until it reaches ``RECALL`` for the levels that were really branched: documents of nodes that branch past ``first`` levels
+get further trees, and what a task branches in its own nodes is repeated there to ``WITHIN``. (Acceptance by sketches comes
+on top.)
+
 Scale: the first levels are DataFrame steps over rows of (node, document) of 16 bytes; only nodes that several documents
 share fetch sketches (256 bytes each). Common bigrams let unlike documents share single values, and the more of them the
 larger the corpus, so that every node branches ``first`` levels before sizes count: unlike documents seldom share two. Nodes above ``split_rows`` branch in further distributed levels. Copies with equal
@@ -34,16 +39,31 @@ SKETCH = 128
 THRESHOLD = 0.6
 #: Sketch agreement has a standard deviation of 0.043 at the threshold; pairs are accepted from about one below it.
 ACCEPT = 0.56
-TREES = 8
+#: The chance that a pair at the threshold meets in some tree, at the least; and in the part of a tree within a task, once there.
+RECALL = 0.99
+WITHIN = 0.87
 #: Levels that every node branches before the sizes of nodes are looked at.
 FIRST = 2
 SMALL = 48
 SPLIT_ROWS = 100_000
 _rng = np.random.default_rng(20_231)
+_STEPS = np.array([(i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF for i in range(SKETCH)], np.uint64)
 _A = (_rng.integers(0, 1 << 31, SKETCH) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, SKETCH).astype(np.uint32)
 
 
+def trees_for(levels: int, recall: float = RECALL, below: float = 1.0) -> int:
+    """Trees of ``levels`` levels in one of which a pair at the threshold meets with the chance ``recall``.
+
+    ``below`` is the chance that it meets under a node of the last level. The children that a pair shares follow a Poisson
+    distribution of mean 1.
+    """
+    q = below
+    for _ in range(levels):
+        q = 1 - np.exp(-q)
+    return 1 if q >= recall else int(np.ceil(np.log1p(-recall) / np.log1p(-q)))
+
+
 def sketch_matrix(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """One row of ``SKETCH`` 16-bit MinHash values per text, and which texts have any shingle."""
     h, at = common.shingles(texts, width)
@@ -88,6 +108,29 @@ def _children(keys: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[n
     return np.concatenate(row), np.concatenate(key)
 
 
+def _children_of(key: int, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_children``, where all documents stand in one node."""
+    draw = common.mix(np.uint64(key) + _STEPS)
+    picked = np.flatnonzero((draw >> np.uint64(11)).astype(np.float64) / (1 << 53) < 1 / (threshold * SKETCH))
+    keys = common.mix((draw[picked] ^ (sketch[:, picked].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).T.ravel())
+    return np.tile(np.arange(len(sketch)), len(picked)), keys
+
+
+def _agreements(x: np.ndarray) -> np.ndarray:
+    """For each row the places in which other rows have its value, summed over these, some columns at once."""
+    n, out = len(x), np.zeros(len(x))
+    step = max(1, (1 << 18) // n)
+    for a in range(0, SKETCH, step):
+        part = np.ascontiguousarray(x[:, a : a + step].T)
+        order = np.argsort(part, axis=1, kind="stable")
+        part = np.take_along_axis(part, order, 1)
+        new = np.ones(part.shape, bool)
+        new[:, 1:] = part[:, 1:] != part[:, :-1]
+        size = np.diff(np.append(np.flatnonzero(new.ravel()), part.size))
+        out += np.bincount(order.ravel(), np.repeat(size, size) - 1, n)
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     b, _ = _bytes(column)
     return b.view(np.uint16).reshape(-1, SKETCH)
@@ -99,7 +142,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at
 
 
-def _branch(threshold: float, trees: int, levels: int):
+def _branch(threshold: float, trees: range, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -108,7 +151,7 @@ def _branch(threshold: float, trees: int, levels: int):
             if "node" in batch.schema.names:
                 roots = [batch.column("node").to_numpy().view(np.uint64)]
             else:
-                roots = [np.full(len(ids), common.mix(np.array([t + 1], np.uint64))[0]) for t in range(trees)]
+                roots = [np.full(len(ids), common.mix(np.array([t + 1], np.uint64))[0]) for t in trees]
             for key in roots:
                 rows = np.arange(len(ids))
                 for _ in range(levels):
@@ -137,22 +180,19 @@ class _Sets:
                 self.up[q] = r
 
 
-def _compare(m: np.ndarray, least: int, threshold: float, key: int, small: int, depth: int, rows: np.ndarray, sets: _Sets) -> None:
+def _compare(m: np.ndarray, least: int, threshold: float, key: int, small: int, depth: int, rows: np.ndarray, sets: _Sets) -> int:
+    """Join what is alike in a node; the number of levels that were branched below it."""
     n = len(rows)
     if n < 2:
-        return
+        return 0
     x = m[rows]
     if n <= small:
         for i in range(n - 1):
             same = np.flatnonzero((x[i + 1 :] == x[i]).sum(1) >= least)
             if len(same):
                 sets.join(rows[i], rows[i + 1 + same])
-        return
-    total = np.zeros(n)
-    for i in range(SKETCH):
-        _, back, count = np.unique(x[:, i], return_inverse=True, return_counts=True)
-        total += count[back] - 1
-    dense = total / SKETCH / (n - 1) >= 0.9 * threshold if depth < 24 else np.ones(n, bool)
+        return 0
+    dense = _agreements(x) / SKETCH / (n - 1) >= 0.9 * threshold if depth < 24 else np.ones(n, bool)
     loose, waiting = np.flatnonzero(~dense), set(np.flatnonzero(dense).tolist())
     while waiting:
         queue = [waiting.pop()]
@@ -164,20 +204,27 @@ def _compare(m: np.ndarray, least: int, threshold: float, key: int, small: int,
             fresh = waiting.intersection(near.tolist())
             waiting -= fresh
             queue.extend(fresh)
-    if len(loose) > 1:
-        row, keys = _children(np.full(len(loose), key, np.uint64), x[loose], threshold)
+    if len(loose) < 2:
+        return 0
+    # nodes below the first are repeated with it
+    levels, done = 1, 0
+    while done < (1 if depth > 1 else trees_for(levels, WITHIN)):
+        own = key if not done else common.mix(np.array([key + done * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+        row, keys = _children_of(own, x[loose], threshold)
         order = np.argsort(keys, kind="stable")
         row, keys = row[order], keys[order]
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
         for a, b in zip(edge[:-1], edge[1:]):
             if b - a > 1:
-                _compare(m, least, threshold, keys[a], small, depth + 1, rows[loose[row[a:b]]], sets)
+                levels = max(levels, 1 + _compare(m, least, threshold, int(keys[a]), small, depth + 1, rows[loose[row[a:b]]], sets))
+        done += 1
+    return levels
 
 
 def node_edges(ids: np.ndarray, m: np.ndarray, key: int, threshold: float, accept: float, small: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from the smallest id of every set of connected documents of a node to the others."""
     sets = _Sets(len(ids))
-    _compare(m, int(np.ceil(accept * SKETCH)), threshold, key, small, 1, np.arange(len(ids)), sets)
+    _compare(m, int(np.ceil(accept * SKETCH)), threshold, int(key), small, 1, np.arange(len(ids)), sets)
     root = np.array([sets.find(i) for i in range(len(ids))])
     low = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(low, root, ids)
@@ -216,7 +263,7 @@ def _leaf(threshold: float, accept: float, small: int):
     return run
 
 
-def near_pairs(sketch: DataFrame, threshold: float = THRESHOLD, accept: float = ACCEPT, trees: int = TREES, first: int = FIRST, small: int = SMALL, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def near_pairs(sketch: DataFrame, threshold: float = THRESHOLD, accept: float = ACCEPT, recall: float = RECALL, first: int = FIRST, small: int = SMALL, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Edges ``(a, b)``, a < b, that connect every group of documents found to be similar."""
     one = sketch.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
     keyed = cut(one.withColumn("k1", F.xxhash64("sketch")).withColumn("k2", F.xxhash64("sketch", F.lit(7))))
@@ -224,15 +271,27 @@ def near_pairs(sketch: DataFrame, threshold: float = THRESHOLD, accept: float =
     copies = keyed.select("doc_id", "k1", "k2").join(low, ["k1", "k2"]).where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     firsts = keyed.join(low.select(F.col("low").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sketch")
     count = F.count("*").over(Window.partitionBy("node"))
-    front, leaves, level = firsts.mapInArrow(_branch(threshold, trees, first), "node long, doc_id long"), [], 0
-    while True:
-        level += 1
-        sized = cut(front.withColumn("n", count).where("n > 1"))
-        leaves.append(sized.where(F.col("n") <= split_rows) if level < 12 else sized)
-        big = sized.where(F.col("n") > split_rows).select("node", "doc_id")
-        if level >= 12 or big.isEmpty():
+    leaves, own, done, levels = [], firsts, 0, first
+    while done < (trees := trees_for(levels, recall, WITHIN)):
+        front, deep, level = own.mapInArrow(_branch(threshold, range(done, trees), first), "node long, doc_id long"), [], 0
+        while True:
+            level += 1
+            sized = cut(front.withColumn("n", count).where("n > 1"))
+            leaves.append(sized.where(F.col("n") <= split_rows) if level < 12 else sized)
+            big = sized.where(F.col("n") > split_rows).select("node", "doc_id")
+            if level >= 12 or big.isEmpty():
+                break
+            deep.append(big.select("doc_id"))
+            front = big.join(firsts, "doc_id").select("node", "doc_id", "sketch").mapInArrow(_branch(threshold, range(0), 1), "node long, doc_id long")
+        done = trees
+        if not deep:
             break
-        front = big.join(firsts, "doc_id").select("node", "doc_id", "sketch").mapInArrow(_branch(threshold, trees, 1), "node long, doc_id long")
+        # pairs that were parted past the first levels were both in a node that branched there
+        levels = max(levels, first + len(deep))
+        seen = deep[0]
+        for d in deep[1:]:
+            seen = seen.unionByName(d)
+        own = own.join(seen.distinct(), "doc_id", "left_semi")
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)

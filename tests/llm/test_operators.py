@@ -231,6 +231,25 @@ def test_large_nodes_branch_and_dense_ones_are_compared():
     assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} >= {(80 * g, 80 * g + i) for g in range(1) for i in range(1, 80)}
 
 
+def test_recall_does_not_fall_with_depth(spark):
+    """Pairs at the threshold that agree only where the crowd does too, so that they are parted unless nodes get small."""
+    rng, n, pairs, wide = np.random.default_rng(12), 600, 100, near_dedup.SKETCH
+    template, new = rng.integers(0, 1 << 16, wide), lambda k: rng.integers(0, 1 << 16, (k, wide))
+    crowd = rng.permuted(np.tile(np.arange(wide) < 77, (n, 1)), axis=1)
+    m = np.concatenate([np.where(crowd, template, new(n)), np.where(crowd[:pairs], template, new(pairs))]).astype(np.uint16)
+    sketch = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(m)], "doc_id long, sketch binary")
+    edges = near_dedup.near_pairs(sketch, small=8, split_rows=100).collect()
+    sets = near_dedup._Sets(len(m))
+    for e in edges:
+        sets.join(e["a"], np.array([e["b"]]))
+    met = np.mean([sets.find(i) == sets.find(n + i) for i in range(pairs)])
+    assert met >= 0.95 and len(edges) < 3 * pairs
+
+
+def test_trees_follow_levels():
+    assert [near_dedup.trees_for(n) for n in (0, 2, 5, 12)] == [1, 8, 15, 32]
+
+
 # 7 toxicity
 
 
