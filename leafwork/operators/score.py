@@ -30,19 +30,29 @@ def tidy(text: str) -> str:
     return " ".join(unicodedata.normalize("NFC", text).replace("ـ", "").split())
 
 
-def edit_similarity(text: str, gold: str) -> float:
-    x, y = tidy(text), tidy(gold)
+def _alike(x: str, y: str) -> float:
     return 1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0
 
 
+def edit_similarity(text: str, gold: str) -> float:
+    return _alike(tidy(text), tidy(gold))
+
+
 def claimed(pred: list[str], gold: list[str], least: float) -> list[int]:
     """For each prediction the gold item that it takes: the most similar that is left, above ``least``; else -1."""
-    left, out = set(range(len(gold))), []
-    for p in pred:
-        scored = [(edit_similarity(p, gold[g]), -g) for g in sorted(left)]
-        best = max(scored, default=(0.0, 0))
+    tidied = [tidy(g) for g in gold]
+    left, out = dict(enumerate(tidied)), []
+    same: dict[str, list[int]] = {}
+    for g in range(len(gold) - 1, -1, -1):
+        same.setdefault(tidied[g], []).append(g)
+    for p in map(tidy, pred):
+        own = same.get(p, [])
+        while own and own[-1] not in left:
+            own.pop()
+        # nothing is more similar than the same text, so that the others needn't be compared
+        best = (1.0, -own[-1]) if own else max(((_alike(p, t), -g) for g, t in left.items()), default=(0.0, 0))
         if best[0] > least:
-            left.discard(-best[1])
+            del left[-best[1]]
             out.append(-best[1])
         else:
             out.append(-1)
@@ -169,13 +179,95 @@ def teds(a: Node, b: Node, structure_only: bool = False) -> float:
     return 1 - d / n
 
 
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edits between the strings of each pair, for many short pairs at once."""
+    size = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+    out = np.zeros(len(a), np.int64)
+    widths = np.maximum(*size) if len(a) else np.zeros(0, np.int64)
+    order, at = np.argsort(widths, kind="stable"), 0
+    while at < len(order):
+        part = order[at : at + (1 << 16)]
+        part = part[: max(1, int(np.searchsorted(np.arange(1, len(part) + 1) * (widths[part] + 1), 1 << 22, "right")))]
+        at += len(part)
+        x, y = (np.array([side[i] for i in part], f"U{max(1, int(n[part].max()))}").view(np.uint32).reshape(len(part), -1).T for side, n in ((a, size[0]), (b, size[1])))
+        n, m, here = size[0][part], size[1][part], np.arange(len(part))
+        row = np.repeat(np.arange(len(y) + 1, dtype=np.int32)[:, None], len(part), 1)
+        found = np.where(n == 0, m, 0)
+        for i in range(1, len(x) + 1):
+            new = np.empty_like(row)
+            new[0] = i
+            swap = row[:-1] + (y != x[i - 1])
+            for j in range(1, len(y) + 1):
+                np.minimum(np.minimum(row[j], new[j - 1]) + 1, swap[j - 1], out=new[j])
+            row = new
+            found = np.where(n == i, row[m, here], found)
+        out[part] = found
+    return out
+
+
+def _cell_costs(found: list[Grid], gold: list[Grid]) -> np.ndarray:
+    """What it costs to rename each cell to each, per pair of tables of one shape; equal pairs of texts are compared once."""
+    index: dict[str, int] = {}
+    p, g = (np.array([[index.setdefault(c, len(index)) for row in t for c in row] for t in side], np.int64).reshape(len(side), -1) for side in (found, gold))
+    texts = list(index)
+    pairs, back = np.unique(p[:, :, None] * len(texts) + g[:, None, :], return_inverse=True)
+    x, y = ([texts[i] for i in (pairs // max(1, len(texts)) if k == 0 else pairs % max(1, len(texts))).tolist()] for k in (0, 1))
+    most = np.maximum(np.array([len(t) for t in x], np.int64), np.array([len(t) for t in y], np.int64)) if len(pairs) else np.zeros(0, np.int64)
+    return np.where(most > 0, distances(x, y) / np.maximum(most, 1), 0.0)[back].reshape(len(found), p.shape[1], g.shape[1])
+
+
+def _tree_distances(a: Node, b: Node, cells: np.ndarray) -> np.ndarray:
+    """``tree_distance`` of many pairs of tables of the shapes of ``a`` and ``b``, by their costs to rename cells."""
+    na, la = _post_order(a)
+    nb, lb = _post_order(b)
+    rename = np.array([[0.0 if x.tag == y.tag else 1.0 for y in nb] for x in na])[:, :, None].repeat(len(cells), 2)
+    own, others = ([i for i, x in enumerate(side) if x.tag == "td"] for side in (na, nb))
+    rename[np.ix_(own, others)] = cells.transpose(1, 2, 0)
+    roots = lambda left: sorted({x: i for i, x in enumerate(left)}.values())
+    tree = np.zeros((len(na), len(nb), len(cells)))
+    for i in roots(la):
+        for j in roots(lb):
+            p, q = la[i], lb[j]
+            f = np.zeros((i - p + 2, j - q + 2, len(cells)))
+            f[1:, 0], f[0, 1:] = np.arange(1, i - p + 2)[:, None], np.arange(1, j - q + 2)[:, None]
+            for s in range(1, i - p + 2):
+                for t in range(1, j - q + 2):
+                    x, y = p + s - 1, q + t - 1
+                    whole = la[x] == p and lb[y] == q
+                    other = f[s - 1, t - 1] + rename[x, y] if whole else f[la[x] - p, lb[y] - q] + tree[x, y]
+                    np.minimum(np.minimum(f[s - 1, t], f[s, t - 1]) + 1, other, out=f[s, t])
+                    if whole:
+                        tree[x, y] = f[s, t]
+    return tree[-1, -1]
+
+
+def teds_of(found: list[Grid], gold: list[Grid], structure_only: bool = False, most: int = 512) -> np.ndarray:
+    """``teds`` of each pair of grids; pairs of one shape are worked out together, ``most`` at once."""
+    out = np.ones(len(gold))
+    by_shape: dict[tuple, list[int]] = {}
+    for i, (f, g) in enumerate(zip(found, gold)):
+        if f != g:
+            by_shape.setdefault((tuple(map(len, f)), tuple(map(len, g))), []).append(i)
+    for own in by_shape.values():
+        a, b = table_tree(found[own[0]]), table_tree(gold[own[0]])
+        n = max(1 + len(t.children) + sum(len(r.children) for r in t.children) for t in (a, b))
+        if structure_only:
+            cells = np.zeros((1, *(sum(len(r.children) for r in t.children) for t in (a, b))))
+            out[own] = 1 - _tree_distances(a, b, cells)[0] / n
+            continue
+        for k in range(0, len(own), most):
+            part = own[k : k + most]
+            out[part] = 1 - _tree_distances(a, b, _cell_costs([found[i] for i in part], [gold[i] for i in part])) / n
+    return out
+
+
 def teds_column(pred: Column, gold: Column, structure_only: bool = False) -> Column:
     """``teds`` of two ``array<array<string>>`` columns, in Arrow batches."""
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for p, g in parts:
-            yield pd.Series([teds(table_tree([list(r) for r in x]), table_tree([list(r) for r in y]), structure_only) for x, y in zip(p, g)])
+            yield pd.Series(teds_of([[list(r) for r in x] for x in p], [[list(r) for r in x] for x in g], structure_only))
 
     return run(pred, gold)
 

@@ -15,9 +15,8 @@ PG = ["doc_id", "page"]
 
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of nations a region, and predictions that lose a row or garble a cell by the number of the region."""
-    n = D.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r")).alias("row"))
-    g = n.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["r"]).alias("grid"))
+    """The grids of all tables, and predictions that lose a row or garble a cell by the number of the table."""
+    g = blocks._grids(spark, sf_dir)
     rows = F.slice("grid", F.lit(1), F.size("grid") - (F.col("doc_id") % 2).cast("int"))
     return g.select("doc_id", "grid", F.transform(rows, lambda r, i: F.when((i == 0) & (F.col("doc_id") % 3 == 0), F.transform(r, lambda c, j: F.when(j == 0, F.lit("?")).otherwise(c))).otherwise(r)).alias("pred"))
 
@@ -32,8 +31,8 @@ def cell_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of a region's nations as gold, and as prediction backwards or without the first by the number of the region."""
-    d = _damaged(spark, sf_dir).select("doc_id", F.transform("grid", lambda r: r[1]).alias("gold"))
+    """All lines of all documents as gold, and as prediction backwards or without the first by the number of the document."""
+    d = D.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "").alias("gold"))
     n = F.size("gold")
     turned = F.when(F.col("doc_id") % 3 == 0, F.reverse("gold")).when((F.col("doc_id") % 3 == 1) & (n > 1), F.slice("gold", F.lit(2), n - 1)).otherwise(F.col("gold"))
     return d.withColumn("pred", turned)

@@ -66,3 +66,57 @@ def test_order_and_cells():
     assert score.reading_order([], []) == 1.0
     assert score.cell_score(GRID[:1], GRID) == 0.5
     assert score.edit_similarity("", "") == 1.0
+
+
+def test_teds_of_many_is_teds_of_each():
+    rng = np.random.default_rng(19)
+    text = lambda: "".join(rng.choice(list("ab1.é"), rng.integers(0, 5)))
+    grid = lambda: [[text() for _ in range(rng.integers(1, 4))] for _ in range(rng.integers(0, 4))]
+    found, gold = [grid() for _ in range(150)], [grid() for _ in range(150)]
+    found[:10] = gold[:10]
+    for structure in (False, True):
+        want = [score.teds(score.table_tree(f), score.table_tree(g), structure) for f, g in zip(found, gold)]
+        assert np.abs(score.teds_of(found, gold, structure, most=7) - want).max() < 1e-12
+    a, b = [text() for _ in range(300)] + ["", "x" * 50], [text() for _ in range(300)] + ["yx", "x" * 48]
+    assert score.distances(a, b).tolist() == [score.distance(x, y) for x, y in zip(a, b)]
+
+
+def test_claimed_is_best_of_all_left():
+    rng = np.random.default_rng(20)
+    text = lambda: "".join(rng.choice(list("ab "), rng.integers(0, 4)))
+    for _ in range(100):
+        pred, gold = [text() for _ in range(rng.integers(0, 7))], [text() for _ in range(rng.integers(0, 7))]
+        left, want = set(range(len(gold))), []
+        for p in pred:
+            best = max(((score.edit_similarity(p, gold[g]), -g) for g in left), default=(0.0, 0))
+            want.append(-best[1] if best[0] > 0.5 else -1)
+            left.discard(want[-1])
+        assert score.claimed(pred, gold, 0.5) == want
+
+
+def test_scores_are_of_all_tables_and_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tests.oracle import SMALL
+
+    from leafwork.plans import blocks, quality
+
+    for name, key, most in (("lineitem", "l_orderkey", 60), ("documents", "doc_id", 30)):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").where(F.col(key) <= most).write.parquet(f"{tmp_path}/{name}.parquet")
+    d = str(tmp_path)
+    grids = {r["doc_id"]: [list(x) for x in r["grid"]] for r in blocks._grids(spark, d).collect()}
+    pred = {}
+    for i, g in grids.items():
+        p = [list(r) for r in (g[:-1] if i % 2 else g)]
+        if i % 3 == 0 and p:
+            p[0][0] = "?"
+        pred[i] = p
+    tree, micro = score.table_tree, lambda x: round(x * 1_000_000)
+    got = {r["doc_id"]: (r["teds"], r["structure"]) for r in quality.teds(spark, d).collect()}
+    assert got == {i: tuple(micro(score.teds(tree(pred[i]), tree(g), only)) for only in (False, True)) for i, g in grids.items()} and len(got) > 10
+    assert {r["doc_id"]: r["cells"] for r in quality.cell_score(spark, d).collect()} == {i: micro(score.cell_score(pred[i], g)) for i, g in grids.items()}
+    want = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        gold = [x for x in (r["text"] or "").split("\n") if x]
+        turned = gold[::-1] if r["doc_id"] % 3 == 0 else gold[1:] if r["doc_id"] % 3 == 1 and len(gold) > 1 else gold
+        want[r["doc_id"]] = micro(score.reading_order(turned, gold))
+    assert {r["doc_id"]: r["order"] for r in quality.reading_order_score(spark, d).collect()} == want and len(want) > 10
