@@ -13,7 +13,7 @@ Scale: the SVM over Nystrom features is a weighted sum of kernels with the landm
 subsequence weights, so the whole model is one table over three-character subsequences (1 MB) that each task gets. Scoring
 is a map over the scan; every distinct string of a batch is scored once, and an upper bound leaves out, exactly, strings
 whose margin can't exceed ``FLOOR``. At most ``sample`` labelled texts are trained on, those with the
-smallest hash of the id, and bounded numbers of their strings.
+smallest hash of the id. Features of training strings are held once; all that works on them takes ``BLOCK`` rows at a time.
 
 Edge cases: a null or blank text is not toxic and scores 0; a null id is kept; repeated rows get equal results; texts are
 read whole, strings beyond ``MOST`` characters in overlapping windows; a label that is null, or an id that isn't among the
@@ -38,12 +38,12 @@ from leafwork.llm import common
 DECAY = 0.6
 MOST = 32
 LANDMARKS = 192
-SAMPLE = 3000
+SAMPLE = 4000
 ROUNDS = 3
 #: Variants with an inserted character that each witness adds to the training strings.
 VARIANTS = 2
-#: Strings of clean texts that are trained on: so many drawn, and as many of the hardest in each round.
-NEGATIVES = 6000
+#: Strings of clean texts that are drawn to train on; hard ones come on top.
+NEGATIVES = 8000
 #: Bytes of text whose strings are taken together.
 PART_BYTES = 16 << 20
 #: Strings whose kernels are worked out together.
@@ -209,9 +209,11 @@ class Model:
         return best, hits
 
 
-def _svm(phi: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.5, steps: int = 40) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, by Newton steps on the rows inside the margin, halved where they overshoot."""
-    x = np.column_stack([phi, np.ones(len(phi))])
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.5, steps: int = 40) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss, by Newton steps on the rows inside the margin, halved where they overshoot.
+
+    The last column of ``x`` is 1, for the bias.
+    """
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
@@ -221,9 +223,14 @@ def _svm(phi: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.5, s
 
     now = loss(w)
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        to = np.linalg.solve(np.diag(penalty) + (xa * ca[:, None]).T @ xa, xa.T @ (ca * y[active]))
+        active = np.flatnonzero(y * (x @ w) < 1)
+        left, right = np.diag(penalty), np.zeros(len(penalty))
+        for i in range(0, len(active), BLOCK):
+            part = active[i : i + BLOCK]
+            xa, ca = x[part], cost[part]
+            left += (xa * ca[:, None]).T @ xa
+            right += xa.T @ (ca * y[part])
+        to = np.linalg.solve(left, right)
         size = 1.0
         while size > 1e-4 and loss(w + size * (to - w)) > now:
             size /= 2
@@ -275,18 +282,20 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         root = vector[:, keep] / np.sqrt(value[keep])
         varied = [_inserted(words[i], rng) for i in positive for _ in range(VARIANTS)]
         rows = [words[i] for i in positive] + varied + [words[i] for i in negative]
-        kernel = np.zeros((len(rows), len(marks)))
+        phi = np.ones((len(rows), root.shape[1] + 1))
         for i in range(0, len(rows), BLOCK):
             x, owner = encode(rows[i : i + BLOCK])
-            np.maximum.at(kernel, i + owner, chosen.kernel(x))
+            kernel = np.zeros((len(rows[i : i + BLOCK]), len(marks)))
+            np.maximum.at(kernel, owner, chosen.kernel(x))
+            phi[i : i + BLOCK, :-1] = kernel @ root
         n_good = len(rows) - len(negative)
         label = np.concatenate([np.ones(n_good), -np.ones(len(negative))])
         cost = np.concatenate([np.full(n_good, len(negative) / n_good * 0.5), np.where(np.isin(negative, hard), 4.0 + good[negative], 1.0)])
-        w, b = _svm(kernel @ root, label, np.minimum(cost, 20.0))
+        w, b = _svm(phi, label, np.minimum(cost, 20.0))
         model = Model(chosen.table(root @ w), float(b))
         margin = model.margins(words)
         hard = np.flatnonzero((margin > -0.9) & (good >= 0.2 * seen) & ~witness)
-        hard = hard[np.argsort(-(margin[hard] + 1) * good[hard], kind="stable")][:NEGATIVES]
+        hard = hard[np.argsort(-(margin[hard] + 1) * good[hard], kind="stable")]
         negative = np.unique(np.concatenate([negative, hard]))
         witness = witness | ((size >= 3) & (bad >= 1) & (good == 0) & (margin > 0.5))
     # the threshold is that of the fewest errors on the labelled texts, midway between the margins that it parts

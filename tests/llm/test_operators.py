@@ -269,6 +269,15 @@ def test_toxic_held_out_and_variants(spark, odd, none):
     assert toxicity.classify(none, model).count() == 0 and toxicity.train([], []).table is None
 
 
+def test_all_labelled_texts_are_trained_on(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: given.append((len(texts), sum(toxic))))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    toxicity.fit(docs, labels)
+    both = labels.where("toxic is not null").join(docs.where("text is not null"), "doc_id")
+    assert given == [tuple(both.agg(F.count("*"), F.sum(F.col("toxic").cast("int"))).first())] and given[0][0] > 3500
+
+
 def test_kernel_is_that_of_its_definition():
     def brute(s, t):
         def weights(x):
