@@ -253,22 +253,43 @@ def test_trees_follow_levels():
 # 7 toxicity
 
 
-def test_toxic_held_out_and_variants(spark, odd, none):
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(1500).collect()
-    half = 1000
-    model = toxicity.train([r["text"] for r in rows[:half]], [r["toxic"] for r in rows[:half]])
-    _, hits = model.score(pa.array([r["text"] for r in rows[half:]]))
-    y = np.array([r["toxic"] for r in rows[half:]])
-    assert (hits[y == 1] > 0).mean() > 0.7 and (hits[y == 0] > 0).mean() < 0.06
-    plain, spaced, clean = model.score(pa.array(["what an idiot", "you i d i o t there", "the of and"]))[1].tolist()
-    assert plain and spaced and not clean
-    margin = dict(zip(["idiot", "idi.ot", "idiiot", "theof"], model.margins(["idiot", "idiot", "idiiot", "theof"])))
-    assert margin["idiiot"] > margin["theof"]
+INSULTS = "idiot scum moron trash worthless stupid disgusting pathetic loser clown".split()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    return docs.join(labels, "doc_id").orderBy(F.xxhash64("doc_id")).select("text", "toxic").collect()
+
+
+def test_toxic_held_out_and_variants(labelled, spark, odd, none):
+    """Held-out texts; insults with a letter inserted at any place, with gaps, and of two words that are clean alone."""
+    half, rng = 2800, np.random.default_rng(70)
+    texts, y = [r["text"] for r in labelled], np.array([r["toxic"] for r in labelled])
+    two = [f"{t} purple wagon" if k and i % 5 == 0 and not re.search("|".join(INSULTS), t) else t + (" purple", " a wagon")[i % 2] if i % 9 == 0 else t for i, (t, k) in enumerate(zip(texts[:half], y))]
+    model = toxicity.train(two, y[:half].tolist())
+    _, hits = model.score(pa.array(texts[half:]))
+    assert (hits[y[half:] == 1] > 0).mean() > 0.85 and (hits[y[half:] == 0] > 0).mean() <= 0.03
+    planted = [f"the {v} of it" for w in INSULTS for v in toxicity.inserted(w, rng)] + [f"so {w[:a]} {w[a:]} and" for w in INSULTS for a in range(2, len(w) - 1)]
+    assert (model.score(pa.array(planted))[1] > 0).mean() >= 0.9
+    assert (model.score(pa.array(["what a purple wagon", "purple", "wagon", "you i d i o t there", "you i.d.i*o.t", "the of and", "id io t"]))[1] > 0).tolist() == [True, False, False, True, True, False, True]
     got = toxicity.classify(odd, model).collect()
     assert len(got) == len(ROWS) and not any(r["toxic"] for r in got)
     assert toxicity.classify(none, model).count() == 0 and toxicity.train([], []).table is None
 
 
+def test_classification_is_that_of_each_string_alone(spark, labelled):
+    model = toxicity.train([r["text"] for r in labelled[:600]], [r["toxic"] for r in labelled[:600]])
+    texts = [r["text"][:3000] for r in labelled[600:640]] + ["x" * 100 + "idiot" * 12, ""]
+    got = toxicity.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        words = [w for w in ("".join(filter(str.isalpha, w)) for w in texts[r["doc_id"]].lower().split()) if w]
+        own = words + [a + b for a, b in zip(words, words[1:])]
+        m = [max(toxicity.FLOOR, float(x) - (model.joined if i >= len(words) else 0)) for i, x in enumerate(model.margins(toxicity.listed(own)))]
+        runs = [w for w in re.findall(r"(?:(?<=\s)|^)(?:[^\s]{1,2}\s){2,}", " ".join(words) + " ")]
+        assert r["margin"] >= max(m, default=toxicity.FLOOR) - 1e-4 and (runs or r["margin"] <= max(m, default=toxicity.FLOOR) + 1e-4)
+
+
 def test_all_labelled_texts_are_trained_on(spark, monkeypatch):
     given = []
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic: given.append((len(texts), sum(toxic))))
@@ -291,10 +312,16 @@ def test_kernel_is_that_of_its_definition():
         a, b = weights(s), weights(t)
         return sum(a[q] * b[q] for q in a) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
 
-    marks = toxicity.Landmarks(["idiot", "clown"])
+    marks, table = toxicity.Landmarks(["idiot", "clown"]), np.zeros(toxicity._SIZE**3, np.float32)
     for w in ("idixot", "clown", "banana", "idioot"):
-        got = marks.kernel(toxicity.encode([w])[0])[0]
-        assert np.allclose(got, [brute(w, "idiot"), brute(w, "clown")], atol=1e-5)
+        x, _ = next(toxicity.listed([w]).rows(np.array([0])))
+        assert np.allclose(marks.kernel(x)[0], [brute(w, "idiot"), brute(w, "clown")], atol=1e-5)
+        for least in (-1.0, 0.0, 0.4, 0.8):
+            got, want = toxicity.dot(x, marks.table(np.array([1.0, -0.5])), least)[0], brute(w, "idiot") - 0.5 * brute(w, "clown")
+            assert np.isclose(got, want, atol=1e-5) if want > least else got == -np.inf
+            assert toxicity.dot(x, table, 0.0)[0] == -np.inf
+    long = "ab" * 40 + "idiot"
+    assert len(toxicity.Landmarks([long]).windows) > 1 and max(x.shape[0] for x in toxicity.Landmarks([long]).windows) <= toxicity.MOST
 
 
 # 8 Simple-8b
