@@ -1,20 +1,23 @@
 """Language identification by averaged hashed subword embeddings (operator 3).
 
 A text is the mean of the embeddings of its byte n-grams (2 to 4 bytes of lower-cased letters, hashed to ``2**bits``
-buckets; an n-gram may start or end at a word's edge but not span it). A linear softmax on the mean gives the languages.
-Embeddings and softmax are trained together in numpy by stochastic gradient descent, one example at a time, on at most
-``sample`` labelled documents (whole texts, and random stretches of them so that short texts are known too). A held-out
-fifth then sets a temperature, and the rejection threshold: the smallest confidence from which on held-out texts are wrong
-in at most ``risk`` of the cases, and ``LEAST`` at the least.
+buckets; an n-gram may start or end at a word's edge but not span it). A linear softmax on the mean gives the languages and,
+beside them, "none". Embeddings and softmax are trained together in numpy by stochastic gradient descent, one example at a
+time, on at most ``sample`` labelled documents (whole texts, and random stretches of them so that short texts are known too).
+
+What "none" looks like is made from the same texts (``foreign``): letters under a random substitution, which keeps the shape
+of a language and changes its spelling; letters of other scripts; shuffled and random letters; repeated ones. A held-out
+fifth, and foreign text made from it, sets a temperature and the rejection threshold: the smallest confidence from which on
+at most ``risk`` of the held-out pieces are foreign or of another language. A text is rejected below it, or if "none" is likelier.
 
 Scale: since the softmax is linear in the mean, each bucket's logits are one row of a table of a megabyte, which is all
-that the tasks get. Scoring is a map over the scan, vectorised over slices of texts, without a shuffle. The sample is chosen
-by the hash of the id, from the id and label columns alone; only its texts are read then.
+that the tasks get. Scoring is a map over the scan, vectorised over slices of texts, without a shuffle. The sample is the
+rows with the smallest hashes of their id, found without a shuffle from the id and label columns; only its texts are read then.
 
 Edge cases: a null text or one without letters is rejected with a null language and confidence 0; a null id is kept;
-repeated rows get equal results; labels that are null are not trained on; ties between languages go to the first in order;
-without any labelled text every document is rejected; an empty table gives an empty result. ``keep_known`` passes all
-columns through, whatever their names.
+repeated rows get equal results; texts are read whole whatever their length; labels that are null are not trained on; ties
+between languages go to the first in order; without any labelled text every document is rejected; an empty table gives an
+empty result. ``keep_known`` passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ DIM = 16
 SAMPLE = 2000
 EPOCHS = 4
 RATE = 0.4
-RISK = 0.05
-#: Below this calibrated confidence a text is rejected in any case.
-LEAST = 0.5
+#: Share of foreign or wrongly named pieces among those accepted, at the most.
+RISK = 0.01
+#: Scripts, by their first and last letter, that foreign text is made of.
+SCRIPTS = ((0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x587), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x4E00, 0x5E00), (0xAC00, 0xAE00))
 #: Stretches that each training text gives besides itself, and their least and most bytes.
 STRETCHES, SHORT, LONG = 3, 12, 240
 _LETTER = np.zeros(256, bool)
@@ -72,8 +76,29 @@ def grams(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
     return np.concatenate(out).astype(np.int64), np.concatenate(owner)
 
 
+def foreign(text: str, kind: int, rng: np.random.Generator) -> str:
+    """A text of no language that is known, made of ``text``; there are six kinds."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    known, own = np.unique(points, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in known.tolist()], bool)[own] if len(known) else np.zeros(0, bool)
+    out, n = points.copy(), int(letter.sum())
+    if kind <= 2:
+        low, high = SCRIPTS[0 if kind < 2 else int(rng.integers(1, len(SCRIPTS)))]
+        out[letter] = rng.permutation(np.resize(np.arange(low, high + 1), max(len(known), high + 1 - low)))[own[letter]]
+    elif kind == 3:
+        out[letter] = rng.permutation(points[letter])
+    elif kind == 4:
+        out[letter] = rng.integers(97, 123, n)
+    else:
+        word = np.cumsum(~letter)
+        out[letter] = rng.integers(97, 123, int(word[-1]) + 1 if len(word) else 1)[word[letter]]
+    return out.astype(np.uint32).tobytes().decode("utf-32-le", "replace")
+
+
 @dataclass
 class Model:
+    """``table`` and ``bias`` have a column for each language and a last one for none of them."""
+
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
@@ -85,7 +110,7 @@ class Model:
         n = len(at) - 1
         h, text = grams(data, at, int(np.log2(len(self.table))))
         count = np.bincount(text, minlength=n)
-        total = np.stack([np.bincount(text, self.table[h, c], n) for c in range(len(self.languages))], 1) if len(self.languages) else np.zeros((n, 0))
+        total = np.stack([np.bincount(text, self.table[h, c], n) for c in range(self.table.shape[1])], 1) if len(self.languages) else np.zeros((n, 0))
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +119,9 @@ class Model:
         if not self.languages:
             return np.zeros(len(z), int), np.zeros(len(z)), np.zeros(len(z), bool)
         p = _softmax(z / self.temperature)
-        best = p.argmax(1)
+        best = p[:, :-1].argmax(1)
         sure = np.where(count > 0, p[np.arange(len(p)), best], 0.0)
-        return best, sure, (count > 0) & (sure >= self.threshold)
+        return best, sure, (count > 0) & (sure >= self.threshold) & (sure > p[:, -1])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -114,24 +139,25 @@ def train(texts: list[str], labels: list[str], bits: int = BITS, dim: int = DIM,
     held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
     examples, held_out = [], []
     for i, t in enumerate(texts):
-        data = np.frombuffer(t.lower().encode(), np.uint8)
-        parts = [data]
-        for _ in range(STRETCHES):
-            size = int(rng.integers(SHORT, LONG))
-            if len(data) > size:
-                a = int(rng.integers(0, len(data) - size))
-                parts.append(data[a : a + size])
-        for j, part in enumerate(parts):
-            h, _ = grams(part, np.array([0, len(part)]), bits)
-            if len(h):
-                ids, n = np.unique(h, return_counts=True)
-                (held_out if held[i] else examples).append((ids, (n / n.sum()).astype(np.float32)[:, None], y_all[i], j == 0))
+        for text, label in ((t.lower(), y_all[i]), (foreign(t, i // 5 % 6, rng), len(languages))):
+            data = np.frombuffer(text.encode(errors="replace"), np.uint8)
+            parts = [data]
+            for _ in range(STRETCHES):
+                size = int(rng.integers(SHORT, LONG))
+                if len(data) > size:
+                    a = int(rng.integers(0, len(data) - size))
+                    parts.append(data[a : a + size])
+            for part in parts:
+                h, _ = grams(part, np.array([0, len(part)]), bits)
+                if len(h):
+                    ids, n = np.unique(h, return_counts=True)
+                    (held_out if held[i] else examples).append((ids, (n / n.sum()).astype(np.float32)[:, None], label))
     e = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
-    w, bias = rng.normal(0, 0.1, (dim, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
+    w, bias = rng.normal(0, 0.1, (dim, len(languages) + 1)).astype(np.float32), np.zeros(len(languages) + 1, np.float32)
     steps, done = max(1, epochs * len(examples)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(examples)):
-            ids, share, y, _ = examples[k]
+            ids, share, y = examples[k]
             lr = rate * (1 - done / steps)
             done += 1
             own = e[ids]
@@ -145,24 +171,23 @@ def train(texts: list[str], labels: list[str], bits: int = BITS, dim: int = DIM,
     model = Model(languages, e @ w, bias.astype(np.float64))
     check = held_out or examples
     if check:
-        z = np.array([(model.table[ids] * share).sum(0) + bias for ids, share, _, _ in check], np.float64)
+        z = np.array([(model.table[ids] * share).sum(0) + bias for ids, share, _ in check], np.float64)
         y = np.array([x[2] for x in check])
         losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(0.05, 10, 60)}
         model.temperature = float(min(losses, key=losses.get))
         p = _softmax(z / model.temperature)
-        sure, wrong = p.max(1), p.argmax(1) != y
+        best = p[:, :-1].argmax(1)
+        sure, wrong = p[np.arange(len(p)), best], best != y
         order = np.argsort(-sure)
-        rate_up_to = np.cumsum(wrong[order]) / np.arange(1, len(y) + 1)
-        good = np.flatnonzero(rate_up_to <= risk)
-        model.threshold = float(sure[order[good[-1]]]) if len(good) and good[-1] < len(y) - 1 else (0.0 if len(good) else 1.0)
-        model.threshold = max(model.threshold, LEAST)
+        good = np.flatnonzero(np.cumsum(wrong[order]) <= risk * np.arange(1, len(y) + 1))
+        model.threshold = float(sure[order[good[-1]]]) if len(good) else 1.0
     return model
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, **how) -> Model:
     """Train on at most ``sample`` labelled documents of ``docs``, those with the smallest hash of the id."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), F.col(text_col).alias("t")).where("i is not null and l is not null and t is not null")
-    ids = rows.select("i").distinct().orderBy(F.xxhash64(F.col("i").cast("string")), "i").limit(sample)
+    ids = rows.select("i").orderBy(F.xxhash64(F.col("i").cast("string")), "i").limit(sample).distinct()
     got = sorted((str(r["i"]), r["l"], r["t"]) for r in rows.join(F.broadcast(ids), "i", "left_semi").collect())
     return train([x[2] for x in got], [x[1] for x in got], **how)
 
