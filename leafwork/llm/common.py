@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -30,6 +32,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(*stems: str) -> list[str]:
+    """Column names that no table has."""
+    return [f"{stem}_{uuid.uuid4().hex}" for stem in stems]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -84,10 +91,14 @@ def parts(lists: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and offsets of each text's words.
 
-    A word is a longest run of ASCII letters and digits and of characters beyond ASCII, in lower case. Prefix sums of a
-    polynomial modulo 2^64 give every word's hash without a loop over words.
+    A word is a longest run of ASCII letters and digits and of characters beyond ASCII, in lower case, where a character of a
+    script that is written without spaces is a word by itself. Prefix sums of a polynomial modulo 2^64 give every word's
+    hash without a loop over words.
     """
-    b, at = raw(pc.utf8_lower(texts))
+    low = pc.utf8_lower(texts)
+    b, at = raw(low)
+    if ((b == 0xE0) | (b == 0xE1) | (b >= 0xE3)).any():
+        b, at = raw(pc.replace_substring_regex(low, _UNSPACED, r" \1 "))
     n = len(b)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)

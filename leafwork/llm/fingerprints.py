@@ -3,12 +3,14 @@
 All word shingles are hashed once. The hash picks one of ``bins`` bins and the rest of it competes for the bin's minimum.
 Empty bins copy from a bin that a 2-universal hash of (bin, attempt) draws, again and again until it is filled: each empty
 bin draws for itself, which gives the least variance. Of every bin ``bits`` low-order bits are stored, packed. Two
-fingerprints agree by chance in 2^-bits of the bins, which ``estimate`` corrects for.
+fingerprints agree by chance in 2^-bits of the bins, which ``similarity`` (a column) and ``estimate`` correct for.
 
 Scale: a map over the scan, vectorised over whole slices of texts; no shuffle, no state.
 
 Edge cases: a null or blank text has a null fingerprint and 0 shingles; a text shorter than a shingle has one; a null id is
-kept; repeated rows have equal fingerprints; an empty table gives an empty result; other columns are not read.
+kept; repeated rows have equal fingerprints; texts are read whole whatever their length; shingles that tie for a bin's minimum
+have one hash, so either stands for both; a null fingerprint has a null similarity; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm import common
@@ -65,12 +68,30 @@ def unpack(packed: bytes, bits: int = BITS) -> np.ndarray:
     return (planes << np.arange(bits)).sum(1)
 
 
-def estimate(a: bytes, b: bytes, bits: int = BITS) -> float:
-    """Jaccard similarity from two fingerprints, corrected for agreement by chance."""
+def estimate(a: bytes | None, b: bytes | None, bits: int = BITS) -> float | None:
+    """Jaccard similarity from two fingerprints, corrected for agreement by chance; None if either is."""
+    if a is None or b is None:
+        return None
     chance = 2.0**-bits
     return max(0.0, (float((unpack(a, bits) == unpack(b, bits)).mean()) - chance) / (1 - chance))
 
 
+def similarity(a: Column, b: Column, bits: int = BITS) -> Column:
+    """``estimate`` as a column over two columns of fingerprints of one size, in Arrow batches; null where either is."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = (x.notna() & y.notna()).to_numpy()
+        out, chance = np.full(len(x), np.nan), 2.0**-bits
+        if both.any():
+            left, right = (np.frombuffer(b"".join(v[both]), np.uint8).reshape(int(both.sum()), -1) for v in (x, y))
+            differ = np.unpackbits(left ^ right, axis=1).reshape(len(left), -1, bits).any(2)
+            out[both] = np.maximum(0.0, (1 - differ.mean(1) - chance) / (1 - chance))
+        return pd.Series(out)
+
+    return F.nanvl(run(a, b), F.lit(None).cast("double"))
+
+
 def _fingerprints(bins: int, bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
