@@ -17,8 +17,10 @@ larger the corpus, so that every node branches ``first`` levels before sizes cou
 sketches are joined first and take part once, so that thousands of copies don't make a large node.
 
 Edge cases: null or blank texts have no set and are never grouped; texts shorter than a bigram are compared as a whole;
-rows whose id is null are never grouped; rows that repeat an id count as the one with the smallest sketch; the smallest
-id of a group is its keeper, so ties can't occur; an empty table gives an empty result; other columns are not read.
+rows whose id is null are never grouped; in ``near_groups``, whose rows are ids, rows that repeat an id count as the one with
+the smallest sketch (``drop_near_duplicates`` tells their texts apart); the smallest id of a group is its keeper, so ties
+can't occur; texts are read whole whatever their length; an empty table gives an empty result; other columns are not read by
+``near_groups``, pass through ``drop_near_duplicates``, and may have any name.
 """
 
 from __future__ import annotations
@@ -307,15 +309,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group; columns as they were. Of rows that repeat an id one stays."""
-    gone = near_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again")
-    again = cut(again)
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, kept[id_col] == again["__again"], "left_anti")
-    return single.unionByName(kept.join(again, kept[id_col] == again["__again"], "left_semi").dropDuplicates([id_col]))
+    """``docs`` with one document of each group; columns as they were.
+
+    Where an id has several texts, each counts as a document of its own, which stays only if its group has no document with
+    an id to itself; of rows with equal id and text the one stays whose other columns come first as JSON.
+    """
+    again, several, key, gone, row = common.fresh("again", "several", "key", "gone", "row")
+    own = F.col(id_col).cast("long")
+    repeated = cut(docs.where(own.isNotNull()).groupBy(own.alias(again)).count().where("count > 1").select(again))
+    if repeated.isEmpty():
+        found = near_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias(gone))
+        return docs.join(found, own == F.col(gone), "left_anti")
+    texts = docs.select(own.alias(again), F.xxhash64(text_col).alias(key)).join(repeated, again, "left_semi")
+    repeated = cut(texts.groupBy(again).agg((F.min(key) < F.max(key)).alias(several)))
+    # ids from 2^62 up stand for the texts of ids that have several
+    stand_in = F.shiftrightunsigned(F.xxhash64(own, F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.join(repeated, own == F.col(again), "left").withColumn(key, F.when(F.col(several), stand_in).otherwise(own))
+    found = near_groups(keyed, key, text_col, **how).select(F.col("doc_id").alias(gone))
+    kept = keyed.join(found, F.col(key) == F.col(gone), "left_anti")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
+    first = kept.where(F.col(again).isNotNull()).groupBy(key).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
+    return kept.where(F.col(again).isNull()).select(*docs.columns).unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
