@@ -11,13 +11,13 @@ between the shards of a task. The shards' best are merged by rank.
 
 Scale: only postings of terms that some query holds are made. They are written once to the checkpoint folder, because
 document frequencies and mean length must cover all documents before the first score. Queries and their terms are gathered
-on the driver and broadcast; they are the small side by nature, and ``most_query_bytes`` refuses a query table that isn't
-(split it then: queries don't interact). The merge gets k rows a query and task.
+on the driver and broadcast; they are the small side by nature; a query table of more than ``most_query_bytes`` is searched in parts by the hash of the id, one
+after the other, which changes no result since queries don't interact. The merge gets k rows a query and task.
 
 Edge cases: a null or blank query has no terms and no results; queries that share an id are one; repeated terms of a query count once; a null or blank
 document has no postings but counts in the number of documents; rows with a null id are left out on either side; repeated
 documents are results of their own; documents that share no term with the query are no results; ties as above; empty tables
-give an empty result; other columns are not read.
+give an empty result; texts are read whole whatever their length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id
     asked = queries.select(F.col(query_id).cast("long").alias("i"), F.col(query_text).alias("t")).where("i is not null and t is not null")
     size = asked.agg(F.sum(F.length("t") + 8)).first()[0] or 0
     if size > most_query_bytes:
-        raise ValueError(f"{size} bytes of queries; split them into tables of {most_query_bytes}")
+        parts = -(-size // most_query_bytes) + 1
+        found = [top_k(docs, asked.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p), k, doc_id, doc_text, "i", "t", k1, b, shard_docs, 1 << 62) for p in range(parts)]
+        return reduce(DataFrame.unionByName, found)
     merged: dict[int, set[str]] = {}
     for r in asked.collect():
         merged.setdefault(r["i"], set()).update(terms(r["t"]))
