@@ -1,41 +1,52 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (operator 5).
 
-Documents are dealt to ``shards`` by a hash of their id. Within a shard each source is a stream of documents in seeded
+Documents are dealt to shards of ``shard_tokens`` tokens on average by a hash of their id. Within a shard each source is a stream of documents in seeded
 order, cut into blocks of ``block_tokens`` tokens (white-space words): a document belongs to the block in which its first
 token falls. The shard's seats, ``share`` of its blocks, go to sources one by one by the highest quotient
 weight/(2j - 1), j = 1, 2, ..; a source has no more quotients than blocks, so that what a small source can't fill goes to
 the others. Of each source the blocks with the smallest seeded hash are taken, as many as its seats.
 
-Scale: windows run over (shard, source) and carry 40 bytes a document, never its text; quotients are one row a block.
-``shards`` grows with the corpus. Texts meet the chosen ids in one semi-join.
-
-Edge cases: a null source is a source of its own, named ''; a null or blank text has no tokens and belongs to the block
-where it stands; ties of quotients go to the source first in order, ties of hashes to the smaller id; rows without an id
-have an id of -1 here; repeated rows are kept or left together; sources without a weight have weight 0 and get seats
-only after all others; an empty table gives an empty result; other columns are not read.
+Scale: texts are counted in one pass, whose result (70 bytes a document) is written; all else reads that. Windows run over
+(shard, source), quotients are one row a block; both are as large as a shard and no larger, since the number of shards is
+the corpus's tokens by ``shard_tokens``: a source of any size is spread over all shards. Texts meet the chosen keys in one
+semi-join.
+
+Edge cases: a null source is a source of its own, the same as ''; a null or blank text has no tokens and belongs to the block
+where it stands; a text longer than a block fills several and belongs to its first; ties of quotients go to the source first
+in order, ties of hashes to the smaller id; rows without an id are dealt by their text and keep a null id; rows that repeat
+an id and source (or, without an id, text and source) are kept together if the block of one of them is chosen; sources without
+a weight have weight 0 and get seats only after all others; an empty table gives an empty result; other columns are not read
+by ``selected``, pass through ``mix_sources``, and may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARDS = 64
+from leafwork.llm import common
+from leafwork.session import cut
+
+SHARD_TOKENS = 1 << 20
 BLOCK_TOKENS = 2048
 SHARE = 0.8
 SEED = "17"
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
-    """``(doc_id, source, shard, tokens, block)`` of every document."""
-    text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[ \t\r\n]+", " "))
-    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n.alias("tokens"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = rows.withColumn("key", key).withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(shards)))
+def _key(id_col: str, text_col: str, seed: str) -> Column:
+    """What deals and orders a row: the hash of its id, or of its text if it has none."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("long").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))))
+
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
+    """``(doc_id, source, shard, tokens, block, key)`` of every document."""
+    n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^ \\t\\r\\n]+")).cast("long")
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n.alias("tokens"), _key(id_col, text_col, seed).alias("key")))
+    shards = max(1, -(-(rows.agg(F.sum("tokens")).first()[0] or 0) // shard_tokens))
+    rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 15), 16, 10).cast("long"), F.lit(shards)))
     before = F.sum("tokens").over(Window.partitionBy("shard", "source").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
-    return rows.withColumn("block", F.floor(before / block_tokens)).select("doc_id", "source", "shard", "tokens", "block")
+    return rows.withColumn("block", F.floor(before / block_tokens)).select("doc_id", "source", "shard", "tokens", "block", "key")
 
 
 def quotas(blocked: DataFrame, weights: dict[str, float] | None = None, share: float = SHARE) -> DataFrame:
@@ -55,20 +66,25 @@ def quotas(blocked: DataFrame, weights: dict[str, float] | None = None, share: f
     return each.withColumn("place", place).groupBy("shard", "source").agg(F.max("available").alias("available"), won.alias("seats"))
 
 
-def selected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, shards: int = SHARDS, block_tokens: int = BLOCK_TOKENS, share: float = SHARE, seed: str = SEED) -> DataFrame:
-    """``(doc_id, source, shard, block, tokens)`` of the documents in the chosen blocks."""
-    blocked = blocks(docs, id_col, text_col, source_col, shards, block_tokens, seed)
+def _selected(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: dict[str, float] | None, shard_tokens: int, block_tokens: int, share: float, seed: str) -> DataFrame:
+    blocked = blocks(docs, id_col, text_col, source_col, shard_tokens, block_tokens, seed)
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("shard").cast("string"), F.col("source"), F.col("block").cast("string")))
     rank = F.row_number().over(Window.partitionBy("shard", "source").orderBy(key, "block"))
     ranked = blocked.select("shard", "source", "block").distinct().withColumn("rank", rank)
     chosen = ranked.join(quotas(blocked, weights, share), ["shard", "source"]).where("rank <= seats").select("shard", "source", "block")
-    return blocked.join(chosen, ["shard", "source", "block"], "left_semi").select("doc_id", "source", "shard", "block", "tokens")
+    return blocked.join(chosen, ["shard", "source", "block"], "left_semi")
+
+
+def selected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, share: float = SHARE, seed: str = SEED) -> DataFrame:
+    """``(doc_id, source, shard, block, tokens)`` of the documents in the chosen blocks."""
+    return _selected(docs, id_col, text_col, source_col, weights, shard_tokens, block_tokens, share, seed).select("doc_id", "source", "shard", "block", "tokens")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` whose blocks are chosen; columns as they were."""
-    ids = selected(docs, id_col, **how).select(F.col("doc_id").alias("__chosen"))
-    return docs.join(ids, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == F.col("__chosen"), "left_semi")
+    key, source = common.fresh("key", "source")
+    found = _selected(docs, id_col, text_col, source_col, weights, shard_tokens, block_tokens, share, seed).select(F.col("key").alias(key), F.col("source").alias(source))
+    return docs.join(found, (_key(id_col, text_col, seed) == F.col(key)) & (F.coalesce(F.col(source_col), F.lit("")) == F.col(source)), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +93,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH n AS (
-  SELECT doc_id, source, md5('{SEED}:' || doc_id) AS key,
+  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, '')))) AS key,
          CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS BIGINT) AS tokens
-  FROM (SELECT doc_id, coalesce(source, '') AS source,
+  FROM (SELECT doc_id, text, coalesce(source, '') AS source,
                trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents)
-), s AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % {SHARDS} AS shard FROM n),
+), s AS (SELECT *, CAST('0x' || substr(key, 1, 15) AS BIGINT) % (SELECT CAST(greatest(1, ceil(sum(tokens) / {SHARD_TOKENS})) AS BIGINT) FROM n) AS shard FROM n),
 b AS (
   SELECT doc_id, source, shard, tokens, CAST((sum(tokens) OVER (PARTITION BY shard, source ORDER BY key, doc_id, tokens
          ROWS UNBOUNDED PRECEDING) - tokens) // {BLOCK_TOKENS} AS BIGINT) AS block FROM s

@@ -57,6 +57,7 @@ def test_top_k_of_odd_rows_and_none(spark, odd, none):
     asked = spark.createDataFrame([(1, "cat dog cat"), (2, None), (3, ""), (4, "zzz"), (None, "cat"), (5, "word")], "item_id long, text string")
     got = topk.top_k(odd, asked, k=2).collect()
     assert {(r["query_id"], r["doc_id"], r["rank"]) for r in got} == {(1, 1, 1), (1, 1, 2), (5, 6, 1)}
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in topk.top_k(odd, asked, k=2, most_query_bytes=20).collect()} == {(1, 1, 1), (1, 1, 2), (5, 6, 1)}
     assert topk.top_k(none, asked).count() == 0 and topk.top_k(odd, asked.limit(0)).count() == 0
 
 
@@ -128,9 +129,88 @@ def test_held_out_languages_and_rejection(spark, odd, none):
     assert not language_id.identify(odd, language_id.fit(none)).where("accepted").count()
 
 
+FOREIGN = [
+    "Сегодня утром мы пошли на рынок и купили свежие овощи для обеда, а потом долго гуляли по парку.",
+    "今日は朝早く起きて市場へ行き、新鮮な野菜をたくさん買いました。",
+    "Danas smo otišli na tržnicu i kupili svježe povrće za ručak, a zatim smo dugo šetali parkom.",
+    "Vandaag gingen we naar de markt en kochten verse groenten voor de lunch, daarna wandelden we lang door het park.",
+    "Tänään menimme torille ja ostimme tuoreita vihanneksia lounaaksi, sitten kävelimme pitkään puistossa.",
+    "qzkfj wpxv lmrtq zzhgk bvnxw ptkqr jjdsl xcvbw",
+    "xxxx yyyy zzzz xxxx yyyy",
+]
+
+
+def test_foreign_texts_are_rejected_and_clean_ones_kept(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy(F.xxhash64("doc_id")).limit(4000).select("text", "lang").collect()
+    model = language_id.train([r["text"] for r in rows[:2000]], [r["lang"] for r in rows[:2000]])
+    best, _, kept = model.predict(pa.array([r["text"] for r in rows[2000:]]))
+    assert kept.mean() >= 0.99 and np.mean([model.languages[i] == r["lang"] for i, r in zip(best, rows[2000:])]) >= 0.99
+    assert not model.predict(pa.array(FOREIGN))[2].any()
+
+
+def test_language_query_is_that_of_a_naive_loop(spark, texts, odd):
+    """Every n-gram of every text in turn, hashed with plain integers."""
+    model = language_id.train(list(texts.values())[:60], ["a", "b", "c"] * 20, epochs=1)
+    docs = dict(enumerate([*list(texts.values())[:12], "a", "", "xy z", None, "Été!"]))
+    bits = int(np.log2(len(model.table)))
+    for r in language_id.identify(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), model).collect():
+        b = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in (docs[r["doc_id"]] or "").lower().encode())
+        rows = []
+        for n in (2, 3, 4):
+            for g in (b[i : i + n] for i in range(len(b) - n + 1)):
+                if 32 not in g[1:-1] and g[::n-1] != b"  ":
+                    v = int.from_bytes(g, "little") + n * 0x01010101 & 0xFFFFFFFF
+                    v ^= v >> 15
+                    rows.append(model.table[(v * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits])
+        if not rows:
+            assert (r["language"], r["confidence"], r["accepted"]) == (None, 0, False)
+            continue
+        z = np.exp((np.mean(rows, 0) + model.bias) / model.temperature)
+        p = z / z.sum()
+        best = int(p[:-1].argmax())
+        assert r["language"] == model.languages[best] and np.isclose(r["confidence"], p[best], atol=1e-4)
+        assert r["accepted"] == (p[best] >= model.threshold and p[best] > p[-1]) or abs(p[best] - model.threshold) < 1e-4
+
+
 # 4 fingerprints
 
 
+def test_fingerprints_are_those_of_a_naive_loop(spark, texts):
+    docs = [*list(texts.values())[:40], "one two", "one two three four", LONG]
+    got = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    mix = lambda x: int(common.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    for r in got:
+        bins = {}
+        for h in common.shingles(pa.array([docs[r["doc_id"]]]), fingerprints.WIDTH)[0].tolist():
+            cell, value = (h >> 40) % fingerprints.BINS, h & (1 << 40) - 1
+            bins[cell] = min(value, bins.get(cell, value))
+        want = bytearray()
+        for i in range(fingerprints.BINS):
+            at, attempt = i, 0
+            while at not in bins:
+                attempt += 1
+                at = mix(i * 0x10001 + (attempt << 32)) % fingerprints.BINS
+            low = mix(bins[at]) & 0xFF
+            want.append(int(f"{low:08b}"[::-1], 2))
+        assert bytes(r["fingerprint"]) == bytes(want)
+
+
+def test_similarity_is_the_estimate_of_each_pair(spark, odd):
+    found = fingerprints.fingerprints(odd).select("doc_id", "fingerprint").dropDuplicates(["doc_id"])
+    a, b = (found.toDF(f"i{x}", f"f{x}") for x in "ab")
+    for r in a.join(b, F.expr("ia <= ib")).withColumn("s", fingerprints.similarity(F.col("fa"), F.col("fb"))).collect():
+        want = fingerprints.estimate(*(None if r[c] is None else bytes(r[c]) for c in ("fa", "fb")))
+        assert r["s"] is None if want is None else np.isclose(r["s"], want)
+
+
+def test_unspaced_scripts_have_a_word_a_character():
+    a, b = "今日は朝早く起きて市場へ行き野菜を買いました", "今日は朝早く起きて市場へ行き果物を買いました"
+    h, at = common.words(pa.array([a, b, "ไทย cat"]))
+    assert np.diff(at).tolist() == [len(a), len(b), 4]
+    x, o = common.shingles(pa.array([a, b]), 2)
+    assert len(set(x[: o[1]].tolist()) & set(x[o[1] :].tolist())) > 15
+
+
 def test_fingerprints_estimate_jaccard(spark, odd, none):
     rng = np.random.default_rng(4)
     for share in (0.0, 0.3, 0.6, 0.9, 1.0):
@@ -178,10 +258,20 @@ def test_quotas_are_sainte_lague(spark, odd, none):
         free = [(w / (2 * seats[x] + 1), x) for x, w, n in (("a", 1, 9), ("b", 2, 5), ("c", 4, 1)) if seats[x] < n]
         seats[min(free, key=lambda q: (-q[0], q[1]))[1]] += 1
     assert got == {(s, x): seats[x] for s in range(2) for x in "abc"}
-    assert mixing.selected(none).count() == 0
+    assert mixing.selected(none).count() == 0 and mixing.mix_sources(none).count() == 0
     assert mixing.mix_sources(odd, share=1.0).count() == len(ROWS) and mixing.mix_sources(odd).columns == odd.columns
 
 
+def test_mixing_of_rows_without_ids_and_with_any_names(spark):
+    rows = [(None if i % 3 == 0 else -1 if i == 1 else i, f"{i} word " * 40, "ab"[i % 2], i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __chosen int").withColumn("key", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("block", F.lit(3))
+    how = {"shard_tokens": 5000, "block_tokens": 400, "share": 0.5}
+    kept, picked = mixing.mix_sources(docs, **how), mixing.selected(docs, **how)
+    assert kept.columns == docs.columns and kept.count() == picked.count() and 100 < kept.count() < 200
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in picked.collect())
+    assert 3 < picked.select("shard").distinct().count() <= 6
+
+
 # 6 near duplicates
 
 
@@ -223,6 +313,16 @@ def test_near_groups_of_odd_rows(spark, odd, none):
     assert near_dedup.near_groups(none).count() == 0 and near_dedup.drop_near_duplicates(none).count() == 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    copy, other = "one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet black white grey"
+    rows = [(5, copy, 1, 1), (5, other, 2, 2), (5, copy, 0, 3), (6, copy, 0, 4), (7, other + " pink", 0, 5), (9, "quite another text of its own", 0, 6), (9, "which shares its id with this one", 0, 7), (None, copy, 0, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone int, __again int")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r["__again"] for r in kept.collect()) == [4, 5, 6, 7, 8]
+    got = near_dedup.drop_near_duplicates(docs.where("doc_id = 5")).collect()
+    assert sorted(r["__again"] for r in got) == [2, 3]
+
+
 def test_large_nodes_branch_and_dense_ones_are_compared():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 16, (3, near_dedup.SKETCH)).astype(np.uint16)
@@ -343,6 +443,22 @@ def test_simple8b_round_trip(kind):
             assert (own == v[ends[i] : ends[i + 1]]).all()
 
 
+@pytest.mark.parametrize("high", [2, 300, 50_257, 1 << 40])
+def test_simple8b_words_are_those_of_a_greedy_packer(high):
+    v = np.random.default_rng(88).integers(0, high, 1000).astype(np.uint64)
+    words, doc_at, _ = simple8b.pack(v, np.array([1000]))
+    selectors = [(240, 0), (120, 0)] + [(60 // b, b) for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)]
+    n = 0
+    for a in range(0, 1000, simple8b.BLOCK):
+        own, at = v[a : a + simple8b.BLOCK].tolist(), 0
+        while at < len(own):
+            fits = [c for c, b in selectors if at + c <= len(own) and max(own[at : at + c]) < 1 << b]
+            partly = [len(own) - at for c, b in selectors if at + c > len(own) and max(own[at:]) < 1 << b and b]
+            at += max(fits + partly)
+            n += 1
+    assert len(words) <= n
+
+
 def test_simple8b_refuses_negative_ids():
     with pytest.raises(ValueError, match="negative"):
         simple8b.pack(np.array([1, -1]), np.array([2]))
@@ -394,5 +510,7 @@ def test_boilerplate_lines(spark, most):
 def test_boilerplate_of_odd_rows_and_pages(spark, odd, none):
     assert line_dedup.drop_boilerplate(odd).count() == len(ROWS) and line_dedup.drop_boilerplate(odd).columns == odd.columns
     assert line_dedup.drop_boilerplate(none).count() == 0
+    named = odd.withColumn("__bad", F.lit(1)).withColumn("__host", F.lit("a")).withColumn("host", F.lit("b")).withColumn("bad", F.lit(2))
+    assert line_dedup.drop_boilerplate(named).columns == named.columns and line_dedup.drop_boilerplate(named).count() == len(ROWS)
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", F.regexp_replace("html", "<[^>]+>", "\n").alias("text"))
     assert line_dedup.drop_boilerplate(pages, host=F.parse_url("url", F.lit("HOST"))).count() == pages.count()
