@@ -31,7 +31,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -284,8 +284,10 @@ class Model:
         """The margin for each string: ``FLOOR`` for those that the gate holds back, and at the least."""
         out = np.full(len(s), FLOOR)
         if self.table is not None:
-            near = np.flatnonzero(self.gated(s, np.arange(len(s)), self.gate) > -np.inf)
-            out[near] = np.maximum(FLOOR, sharp(self.marks.of(s, near)) @ self.beta + self.shift - np.where(s.second[near] >= 0, self.joined, 0.0))
+            passed = np.flatnonzero(self.gated(s, np.arange(len(s)), self.gate) > -np.inf)
+            passed = passed[np.argsort(s.size[passed], kind="stable")]
+            for near in (passed[i : i + 4 * BLOCK] for i in range(0, len(passed), 4 * BLOCK)):
+                out[near] = np.maximum(FLOOR, sharp(self.marks.of(s, near)) @ self.beta + self.shift - np.where(s.second[near] >= 0, self.joined, 0.0))
         return out
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -307,18 +309,21 @@ def sharp(k: np.ndarray) -> np.ndarray:
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, by Newton steps on the rows inside the margin, halved where they overshoot.
 
-    The last column of ``x`` is 1, for the bias.
+    The last column of ``x`` is 1, for the bias. Its numbers are of half precision and taken up a block of rows at a time.
     """
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
 
+    def reach(v: np.ndarray) -> np.ndarray:
+        return y * np.concatenate([x[i : i + BLOCK].astype(np.float32) @ v.astype(np.float32) for i in range(0, len(x), BLOCK)]).astype(float)
+
     def loss(v: np.ndarray) -> float:
-        return float((penalty * v * v).sum() + (cost * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
+        return float((penalty * v * v).sum() + (cost * np.maximum(0, 1 - reach(v)) ** 2).sum())
 
     now = loss(w)
     for _ in range(steps):
-        active = np.flatnonzero(y * (x @ w) < 1)
+        active = np.flatnonzero(reach(w) < 1)
         left, right = np.diag(penalty), np.zeros(len(penalty))
         for i in range(0, len(active), BLOCK):
             part = active[i : i + BLOCK]
@@ -352,10 +357,17 @@ def _root(gram: np.ndarray) -> np.ndarray:
     return (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])).astype(np.float32)
 
 
-def _fitted(features: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """The SVM of positive and negative rows of features."""
-    x = np.concatenate([np.concatenate(features), np.ones((sum(map(len, features)), 1), np.float32)], 1)
-    return _svm(x, np.concatenate([np.ones(len(features[0])), -np.ones(len(features[1]))]), np.concatenate(weights))
+def _fitted(marks: Landmarks, root: np.ndarray, kernel: Callable[[np.ndarray], np.ndarray], parts: list[tuple[Strings, np.ndarray, float, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """The SVM of some strings by their kernels with ``marks``; each part has its strings, side and weights."""
+    ends = np.cumsum([0] + [len(which) for _, which, _, _ in parts])
+    x, y, cost = np.ones((ends[-1], root.shape[1] + 1), np.float16), np.empty(ends[-1]), np.empty(ends[-1])
+    for (s, which, side, weight), at in zip(parts, ends.tolist()):
+        order = np.argsort(s.size[which], kind="stable")
+        y[at : at + len(which)], cost[at : at + len(which)] = side, weight[order]
+        for i in range(0, len(which), BLOCK):
+            own = which[order[i : i + BLOCK]]
+            x[at + i : at + i + len(own), :-1] = kernel(marks.of(s, own)) @ root
+    return _svm(x, y, cost)
 
 
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 11) -> Model:
@@ -396,6 +408,8 @@ def _trained(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, seed:
     s = strings(pa.array(texts, pa.string()))
     once = np.unique(s.text * len(s) + s.string)
     string, text = once % len(s), once // len(s)
+    s.string = s.text = np.zeros(0, np.int64)
+    del once
     bad = np.bincount(string, y[text], len(s))
     seen = np.bincount(string, minlength=len(s))
     good, share, single = seen - bad, y.mean(), s.second < 0
@@ -412,6 +426,7 @@ def _trained(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, seed:
         witness |= ~single & (s.size >= 3) & (left >= 3) & (good <= 0.05 * left) & ~explained() & _unlikely(left, left + good, open_.mean(), int((~single & (seen >= 3)).sum()))
     if not witness.any():
         return Model(), []
+    del string, text
     sure = [s[i] for i in np.flatnonzero(witness)]
     clean = (s.size >= 2) & (good > 0) & (bad <= share * 2 * seen + 3)
     model = Model()
@@ -423,19 +438,20 @@ def _trained(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, seed:
         drawn = rng.choice(pool, min(START, len(pool)), replace=False)
         chosen = Landmarks([s[i] for i in np.concatenate([first, drawn[: landmarks - len(first)]])])
         root = _root(np.concatenate([chosen.kernel(x) for x in chosen.windows]))
-        rows = np.concatenate([chosen.of(s, positive), chosen.of(varied, np.arange(len(varied)))]) @ root
-        w, b = _fitted([rows, chosen.of(s, drawn) @ root], [np.full(len(rows), max(1.0, len(drawn) / len(rows))), np.ones(len(drawn))])
+        each = max(1.0, len(drawn) / (len(positive) + len(varied)))
+        all_varied = np.arange(len(varied))
+        w, b = _fitted(chosen, root, lambda k: k, [(s, positive, 1, np.full(len(positive), each)), (varied, all_varied, 1, np.full(len(varied), each)), (s, drawn, -1, np.ones(len(drawn)))])
         model = Model(chosen.table(root @ w.astype(np.float32)), b)
         fresh = listed([v for i in positive for _ in range(DRAWS) for v in inserted(s[i], rng)])
         model.gate = float(np.quantile(np.maximum(-1.0, model.gated(fresh, np.arange(len(fresh)), -1.0)), 1 - PASSED))
         # all clean strings that pass train the second SVM, each by the number of its texts
         near = pool[model.gated(s, pool, model.gate) > -np.inf]
-        close = sharp(Landmarks([s[i] for i in first]).of(s, near).max(1)) if len(near) else np.zeros(0)
+        witnessed = Landmarks([s[i] for i in first])
+        close = np.concatenate([np.zeros(0), *(sharp(witnessed.of(s, near[i : i + BLOCK]).max(1)) for i in range(0, len(near), BLOCK))])
         hard = near[np.argsort(-good[near] * close, kind="stable")][: landmarks // 2]
         model.marks = Landmarks([s[i] for i in np.concatenate([first, hard])] + [varied.words[i] for i in rng.choice(len(varied), min(landmarks // 4, len(varied)), replace=False)])
         root = _root(sharp(np.concatenate([model.marks.kernel(x) for x in model.marks.windows])))
-        own = [sharp(model.marks.of(s, positive)), sharp(model.marks.of(varied, np.arange(len(varied)))), sharp(model.marks.of(s, near))]
-        w, model.shift = _fitted([np.concatenate(own[:2]) @ root, own[2] @ root], [np.concatenate([bad[positive], np.full(len(varied), VARIED)]), good[near].astype(float)])
+        w, model.shift = _fitted(model.marks, root, sharp, [(s, positive, 1, bad[positive]), (varied, all_varied, 1, np.full(len(varied), VARIED)), (s, near, -1, good[near].astype(float))])
         model.beta = root @ w.astype(np.float32)
         margin = model.margins(s)
         witness |= (s.size >= 3) & (np.where(single, bad, left) >= 2) & (good == 0) & (margin > 0.5) & ~explained()
