@@ -7,8 +7,9 @@ time, on at most ``sample`` labelled documents (whole texts, and random stretche
 
 What "none" looks like is made from the same texts (``foreign``): letters under a random substitution, which keeps the shape
 of a language and changes its spelling; letters of other scripts; shuffled and random letters; repeated ones. A held-out
-fifth, and foreign text made from it, sets a temperature and the rejection threshold: the smallest confidence from which on
-at most ``risk`` of the held-out pieces are foreign or of another language. A text is rejected below it, or if "none" is likelier.
+fifth, and foreign text made from it, sets a temperature and the rejection threshold: the smallest calibrated probability of
+the known languages together from which on at most ``risk`` of the held-out pieces are foreign. A text is rejected below it,
+or if "none" is likelier than all languages together; a text that mixes known languages isn't rejected for that.
 
 Scale: since the softmax is linear in the mean, each bucket's logits are one row of a table of a megabyte, which is all
 that the tasks get. Scoring is a map over the scan, vectorised over slices of texts, without a shuffle. The sample is the
@@ -38,7 +39,7 @@ DIM = 16
 SAMPLE = 2000
 EPOCHS = 4
 RATE = 0.4
-#: Share of foreign or wrongly named pieces among those accepted, at the most.
+#: Share of foreign pieces among those accepted, at the most.
 RISK = 0.01
 #: Scripts, by their first and last letter, that foreign text is made of.
 SCRIPTS = ((0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x587), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x4E00, 0x5E00), (0xAC00, 0xAE00))
@@ -121,7 +122,7 @@ class Model:
         p = _softmax(z / self.temperature)
         best = p[:, :-1].argmax(1)
         sure = np.where(count > 0, p[np.arange(len(p)), best], 0.0)
-        return best, sure, (count > 0) & (sure >= self.threshold) & (sure > p[:, -1])
+        return best, sure, (count > 0) & (1 - p[:, -1] >= max(self.threshold, 0.5))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -176,11 +177,10 @@ def train(texts: list[str], labels: list[str], bits: int = BITS, dim: int = DIM,
         losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(0.05, 10, 60)}
         model.temperature = float(min(losses, key=losses.get))
         p = _softmax(z / model.temperature)
-        best = p[:, :-1].argmax(1)
-        sure, wrong = p[np.arange(len(p)), best], best != y
-        order = np.argsort(-sure)
-        good = np.flatnonzero(np.cumsum(wrong[order]) <= risk * np.arange(1, len(y) + 1))
-        model.threshold = float(sure[order[good[-1]]]) if len(good) else 1.0
+        known = 1 - p[:, -1]
+        order = np.argsort(-known, kind="stable")
+        good = np.flatnonzero(np.cumsum(y[order] == len(languages)) <= risk * np.arange(1, len(y) + 1))
+        model.threshold = float(known[order[good[-1]]]) if len(good) else 1.0
     return model
 
 

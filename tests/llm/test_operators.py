@@ -169,7 +169,7 @@ def test_language_query_is_that_of_a_naive_loop(spark, texts, odd):
         p = z / z.sum()
         best = int(p[:-1].argmax())
         assert r["language"] == model.languages[best] and np.isclose(r["confidence"], p[best], atol=1e-4)
-        assert r["accepted"] == (p[best] >= model.threshold and p[best] > p[-1]) or abs(p[best] - model.threshold) < 1e-4
+        assert r["accepted"] == (1 - p[-1] >= max(model.threshold, 0.5)) or abs(1 - p[-1] - max(model.threshold, 0.5)) < 1e-4
 
 
 # 4 fingerprints
