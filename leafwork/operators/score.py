@@ -95,8 +95,11 @@ class _Reader(HTMLParser):
         self.root: Node | None = None
         self.row: Node | None = None
         self.cell: Node | None = None
+        self.ended = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.ended:
+            return
         if tag == "table" and self.root is None:
             self.root = Node("table")
         elif tag == "tr" and self.root is not None:
@@ -110,6 +113,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("td", "th"):
             self.cell = None
+        elif tag == "table" and self.root is not None:
+            self.ended, self.cell = True, None
 
     def handle_data(self, data: str) -> None:
         if self.cell is not None:
@@ -151,8 +156,9 @@ def tree_distance(a: Node, b: Node, structure_only: bool = False) -> tuple[float
             return 1.0
         if x.tag != "td" or structure_only:
             return 0.0
-        most = max(len(x.text), len(y.text))
-        return distance(x.text, y.text) / most if most else 0.0
+        s, t = x.text.strip(), y.text.strip()
+        most = max(len(s), len(t))
+        return distance(s, t) / most if most else 0.0
 
     tree = np.zeros((len(na), len(nb)))
     for i in roots(la):

@@ -204,7 +204,7 @@ SQL = {
     "ruled_table_cells": _CELLS,
     "span_owner": f"WITH {D.WORDS}, {D.FILLS}, {_PANELS} SELECT doc_id, page, seq, panel FROM (SELECT doc_id, page, seq, panel, row_number() OVER (PARTITION BY doc_id, seq ORDER BY s DESC, panel) AS k FROM (SELECT *, {_SHARE} AS s FROM w_words JOIN w_panels USING (doc_id, page)) WHERE s > 0.6) WHERE k = 1",
     "line_owner": f"WITH {D.WORDS}, {LINES}, {D.FILLS}, {_PANELS} SELECT doc_id, page, line, panel FROM (SELECT doc_id, page, line, panel, row_number() OVER (PARTITION BY doc_id, line ORDER BY s DESC, panel) AS k FROM (SELECT *, {_SHARE} AS s FROM w_lines JOIN w_panels USING (doc_id, page)) WHERE s > 1e-6) WHERE k = 1",
-    "flow_spans_anti": f"WITH {D.WORDS}, {D.FILLS}, {_PANELS} SELECT doc_id, page, seq FROM w_words WHERE (doc_id, seq) NOT IN (SELECT (doc_id, seq) FROM w_words JOIN w_panels USING (doc_id, page) WHERE {_SHARE} > 0.5)",
+    "flow_spans_anti": f"WITH {D.WORDS}, {D.FILLS}, {_PANELS} SELECT doc_id, page, seq FROM w_words ANTI JOIN (SELECT DISTINCT doc_id, seq FROM w_words JOIN w_panels USING (doc_id, page) WHERE {_SHARE} > 0.5) USING (doc_id, seq)",
     "figure_captions": _CAPTIONS,
     "ocr_lines": _OCR,
     "born_digital_pages": f"WITH {D.WORDS} SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) > 60 AS born_digital FROM w_words GROUP BY ALL",

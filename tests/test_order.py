@@ -51,6 +51,12 @@ def test_teds_published_cases():
     assert score.teds(score.html_tree("<table></table>"), tree([])) == 1.0
 
 
+def test_teds_ignores_space_at_the_ends_of_cells_and_later_tables():
+    assert score.teds(score.table_tree([["a ", "b"]]), score.table_tree([["a", " b"]])) == 1.0
+    two = score.html_tree("<table><tr><td> a\n</td></tr></table><p>x</p><table><tr><td>b</td></tr></table>")
+    assert len(two.children) == 1 and score.teds(two, score.table_tree([["a"]])) == 1.0
+
+
 def test_teds_of_html():
     plain = score.html_tree("<table><tr><td>a</td><td>b</td></tr></table>")
     wrapped = score.html_tree("<table><thead><tr><th>a</th><th>b</th></tr></thead></table>")
