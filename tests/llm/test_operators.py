@@ -496,6 +496,28 @@ def test_bpe_of_all_documents(spark, texts):
         assert r["text"] == texts[r["doc_id"]] and r["ids"] == _direct(texts[r["doc_id"]])
 
 
+@pytest.mark.parametrize("most", [0, 4000])
+def test_bpe_beyond_its_table_moves_no_documents(spark, texts, most):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    table = bpe.compact(bpe.word_table(docs, broadcast_bytes=most).toArrow())
+    assert sum(x.nbytes for x in table) <= most + 8 and (len(table[0]) > 0) == (most > 0)
+    out = bpe.encode(docs, broadcast_bytes=most)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = out.collect()
+    assert len(got) == len(texts) and all(r["ids"] == _direct(texts[r["doc_id"]]) for r in got)
+
+
+def test_bpe_tells_words_of_equal_hash_apart():
+    """The table has other words under the hashes of two of the words, and lacks a third."""
+    words = ["the", " cat", " sat", " \u00e9t\u00e9"]
+    hashes = np.array([bpe.xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    wrong = ["the", " dog", " mat"]
+    rows = pa.table({"word": wrong, "hash": hashes[:3].view(np.int64), "ids": pa.array([_direct(w) for w in wrong], pa.list_(pa.int32()))})
+    start, size, flat = bpe.ids_of(pa.array(words), bpe.compact(rows), bpe.VOCABULARY)
+    assert [flat[a : a + n].tolist() for a, n in zip(start, size)] == [_direct(w) for w in words]
+
+
 # 10 lines
 
 
