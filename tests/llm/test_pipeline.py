@@ -1,6 +1,9 @@
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
+from leafwork.llm import bpe
 from tests.oracle import SMALL
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -49,6 +52,16 @@ def test_stages_of_odd_rows(spark):
             assert ids.count(1) <= 1 and {None, 100, 101, 102, 104} <= set(ids)
 
 
+def test_last_stage_shuffles_no_documents_beyond_its_table(spark, monkeypatch):
+    """As with a vocabulary that is larger than the broadcast table."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    monkeypatch.setattr(bpe, "encode", partial(bpe.encode, broadcast_bytes=0))
+    out = dict(corpus_pipeline.STAGES)["bpe"](spark, docs, SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
 def test_pipeline_writes_each_stage_and_keeps_the_last(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "ids", "text"] and out.count() > 0
