@@ -6,8 +6,8 @@ The last word of a block is filled up with zeros. The word where each block star
 alone and decoding is vectorised over all words of all blocks.
 
 Scale: a map over the scan without a shuffle; texts are split into words by Spark, and each batch has its distinct words
-encoded once, through a table that the Python worker keeps. Packing is vectorised over a whole batch: one pass finds for
-every place the longest run that each selector can take, then all blocks step through their own places side by side.
+encoded once, many at a call. Packing is vectorised over all blocks of many texts: windows that double tell for every place
+which selectors fit, then all blocks step through their own places side by side.
 
 Edge cases: null texts have null results, empty ones no words; a null id is kept; repeated rows get equal results; texts are
 packed whole; negative ids are refused; an empty table gives an empty result; other columns are not read.
@@ -28,14 +28,16 @@ from leafwork.llm import bpe, common
 BLOCK = 128
 #: (count, bits) by selector; 0 is the escape.
 SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (120, 0))
-_ORDER = (15, *range(1, 15), 0)
-_most_words = 400_000
-_words: dict[str, np.ndarray] = {}
+_COUNTS, _BITS = (np.array(x, np.uint8) for x in zip(*SELECTORS))
+#: Words whose distinct ones are encoded together, and distinct words for one call of the tokenizer.
+SHARED, CALL = 1 << 23, 1 << 16
+#: Words without white space but one space before: the tokenizer cuts each off where a line break comes between them.
+_PLAIN = r"^ ?[^\p{Z}\p{C}]+$"
 
 
 def _widths(v: np.ndarray) -> np.ndarray:
     if len(v) and int(v.max()) < 1 << 20:
-        return np.frexp(v.astype(np.float32))[1].astype(np.uint8)
+        return np.maximum((v.astype(np.float32).view(np.int32) >> 23) - 126, 0).astype(np.uint8)
     w = np.zeros(len(v), np.uint8)
     rest = v.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -45,6 +47,16 @@ def _widths(v: np.ndarray) -> np.ndarray:
     return w + (rest > 0)
 
 
+def _runs(fits: np.ndarray, left: np.ndarray, count: int) -> np.ndarray:
+    """Where the next ``count`` places, or all that are left in the block, fit; changes ``fits``."""
+    have = 1
+    while have < count and fits.any():
+        step = min(have, count - have)
+        fits[:-step] &= fits[step:] | (left[:-step] <= step)
+        have += step
+    return fits
+
+
 def pack(values: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pack lists that stand one after the other in ``values``: words, first word of each list, first word of each block.
 
@@ -63,22 +75,16 @@ def pack(values: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[n
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(lengths) + 1, np.int64), np.zeros(1, np.int64)
     here = np.arange(n, dtype=np.int32)
-    left = np.repeat(end, end - start).astype(np.int32) - here
+    left = np.minimum(np.repeat(end.astype(np.int32), end - start) - here, 255).astype(np.uint8)
     width = _widths(v)
-    take, selector = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    open_, last = np.ones(n, bool), {}
     low, high = int(width.min()), int(width.max())
-    for s in _ORDER:
+    whole = min((s for s in range(1, 16) if SELECTORS[s][1] >= high), key=lambda s: SELECTORS[s][1], default=0)
+    selector = np.full(n, whole, np.uint8)
+    for s in (*range(14, 0, -1), 15):
         count, bits = SELECTORS[s]
-        if bits < low:
-            continue
-        run = left if bits >= high else np.minimum(np.minimum.accumulate(np.where(width > bits, here, n)[::-1])[::-1] - here, left)
-        want = np.minimum(left, count)
-        fits = open_ & (run >= want)
-        take[fits], selector[fits] = want[fits], s
-        open_ &= ~fits
-        if bits >= high and s not in (0,) and not open_.any():
-            break
+        if low <= bits < high:
+            np.copyto(selector, s, where=_runs(width <= bits, left, count))
+    take = np.minimum(_COUNTS[selector], left)
     visited = np.zeros(n, bool)
     at, until = start.copy(), end
     while len(at):
@@ -91,19 +97,13 @@ def pack(values: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[n
     used = np.where(own == 0, 2, 1)
     word_at = np.cumsum(used) - used
     out = np.zeros(int(used.sum()), np.uint64)
-    for s in range(16):
-        rows = np.flatnonzero(own == s)
-        if not len(rows):
-            continue
-        count, bits = SELECTORS[s]
-        word = np.full(len(rows), s, np.uint64)
-        if s == 0:
-            out[word_at[rows] + 1] = v[place[rows]]
-        elif bits:
-            for j in range(int(got[rows].max())):
-                some = np.flatnonzero(got[rows] > j)
-                word[some] |= v[place[rows[some]] + j] << np.uint64(4 + j * bits)
-        out[word_at[rows]] = word
+    shift = (here - np.repeat(place.astype(np.int32), got)) * np.repeat(_BITS[own], got) + 4
+    raw = place[own == 0]
+    shift[raw] = 0
+    moved = v << shift.astype(np.uint64)
+    moved[raw] = 0
+    out[word_at] = np.bitwise_or.reduceat(moved, place) | own
+    out[word_at[own == 0] + 1] = v[raw]
     index = np.cumsum(visited) - 1
     block_at = np.append(word_at[index[start]], len(out))
     doc_at = block_at[np.concatenate([[0], np.cumsum(n_blocks)])]
@@ -142,39 +142,51 @@ def unpack(words: np.ndarray, n: int, block_at: np.ndarray, block: int = BLOCK)
     return out
 
 
-def _ids(words: list[str], path: str) -> list[np.ndarray]:
-    if len(_words) > _most_words:
-        _words.clear()
-    piece = bpe.encoder(path).encode_ordinary
-    out = []
-    for w in words:
-        ids = _words.get(w)
-        if ids is None:
-            ids = _words[w] = np.array(piece(w), np.int32)
-        out.append(ids)
-    return out
+def _ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and number of the ids of each word, and these ids."""
+    e = bpe.encoder(path)
+    cut = e.encode_single_token("\n")
+    start, size, flat, total = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), [np.zeros(0, np.int32)], 0
+    plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(plain)
+    for some in (rows[a : a + CALL] for a in range(0, len(rows), CALL)):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), words.take(pa.array(some))), "\n")
+        ids = np.array(e.encode_ordinary(joined[0].as_py()), np.int32)
+        end = np.append(np.flatnonzero(ids == cut), len(ids))
+        start[some] = total + np.concatenate([[0], end[:-1] + 1])
+        size[some] = total + end - start[some]
+        flat.append(ids)
+        total += len(ids)
+    for i in np.flatnonzero(~plain).tolist():
+        ids = np.array(e.encode_ordinary(words[i].as_py()), np.int32)
+        start[i], size[i] = total, len(ids)
+        flat.append(ids)
+        total += len(ids)
+    return start, size, np.concatenate(flat)
 
 
 def _packed(path: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(a, b - a) for whole in batches for a, b in common.parts(whole.column(1), bpe.PART)):
-            lists = batch.column(1)
-            words = lists.flatten().dictionary_encode()
-            table = _ids(words.dictionary.to_pylist(), path)
-            size = np.array([len(x) for x in table], np.int64)
-            flat = np.concatenate(table) if table else np.zeros(0, np.int32)
-            code = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
-            ids = bpe.lay_out((np.cumsum(size) - size)[code], size[code], flat)
-            n_words = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            per_doc = np.diff(np.concatenate([[0], np.cumsum(size[code])])[np.concatenate([[0], np.cumsum(n_words)])])
-            packed, doc_at, block_at = pack(ids, per_doc, block)
-            n_blocks = -(-per_doc // block)
-            own = block_at[:-1] - np.repeat(doc_at[:-1], n_blocks)
-            blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_blocks)]).astype(np.int32)), pa.array(own.astype(np.int32)))
-            data = pa.Array.from_buffers(pa.binary(), len(per_doc), [None, pa.py_buffer((doc_at * 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-            none = pc.is_null(lists)
-            null = lambda x: pc.if_else(none, pa.scalar(None, x.type), x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), null(pa.array(per_doc.astype(np.int64))), null(data), null(blocks)], ["doc_id", "n_ids", "packed", "block_at"])
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in common.parts(whole.column(1), SHARED)):
+            words = batch.column(1).flatten().dictionary_encode()
+            start, size, flat = _ids(words.dictionary, path)
+            codes, at = words.indices.to_numpy(), 0
+            for part in (batch.slice(a, b - a) for a, b in common.parts(batch.column(1), bpe.PART)):
+                lists = part.column(1)
+                n_words = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                code = codes[at : at + n_words[-1]]
+                at += len(code)
+                sizes = size[code]
+                ids = bpe.lay_out(start[code], sizes, flat)
+                per_doc = np.diff(np.concatenate([[0], np.cumsum(sizes)])[n_words])
+                packed, doc_at, block_at = pack(ids, per_doc, block)
+                n_blocks = -(-per_doc // block)
+                own = block_at[:-1] - np.repeat(doc_at[:-1], n_blocks)
+                blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_blocks)]).astype(np.int32)), pa.array(own.astype(np.int32)))
+                data = pa.Array.from_buffers(pa.binary(), len(per_doc), [None, pa.py_buffer((doc_at * 8).astype(np.int32).tobytes()), pa.py_buffer(packed)])
+                none = pc.is_null(lists)
+                null = lambda x, none=none: pc.if_else(none, pa.scalar(None, x.type), x)
+                yield pa.RecordBatch.from_arrays([part.column(0), null(pa.array(per_doc.astype(np.int64))), null(data), null(blocks)], ["doc_id", "n_ids", "packed", "block_at"])
 
     return run
 

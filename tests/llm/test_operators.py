@@ -468,6 +468,48 @@ def _direct(text):
     return bpe.encoder(bpe.VOCABULARY).encode_ordinary(text)
 
 
+def test_distinct_words_are_encoded_many_at_a_call(monkeypatch):
+    real, calls = bpe.encoder(bpe.VOCABULARY), []
+
+    class Counted:
+        encode_single_token = real.encode_single_token
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real.encode_ordinary(text)
+
+    odd = ["'s", "'", " '", "''", " s", "\n", " ", "  \n ", "\u00a0", " \u00a0", "\u3000\u3000", "\x85", "\x1c", " \x1c", "\u200d", "\U0001f600\u200d", "क्षि", " 語", "ﷺ", " 12", "½", "...", " !?", "word"]
+    docs = [[f" w{chr(97 + i % 26)}{i}x" for i in range(a, a + 1500)] + odd for a in range(0, 6000, 1000)] + [None, [], odd[::-1]]
+    monkeypatch.setattr(bpe, "encoder", lambda path: Counted())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.list_(pa.string()))], ["doc_id", "words"])
+    whole = list(simple8b._packed(bpe.VOCABULARY, simple8b.BLOCK)(iter([batch])))
+    assert len(calls) <= len(odd) + 1
+    monkeypatch.setattr(simple8b, "SHARED", 2000)
+    monkeypatch.setattr(simple8b, "CALL", 7)
+    monkeypatch.setattr(bpe, "PART", 1600)
+    parted = list(simple8b._packed(bpe.VOCABULARY, simple8b.BLOCK)(iter([batch])))
+    assert len(parted) > len(whole) == 1
+    for got in (whole, parted):
+        for r, words in zip(pa.Table.from_batches(got).to_pylist(), docs, strict=True):
+            if words is None:
+                assert r["packed"] is None and r["n_ids"] is None and r["block_at"] is None
+            else:
+                ids = simple8b.unpack(np.frombuffer(r["packed"], np.uint64), r["n_ids"], np.array(r["block_at"], np.int64))
+                assert ids.tolist() == [i for w in words for i in real.encode_ordinary(w)]
+
+
+@pytest.mark.parametrize("block", [1, 64, 300, 1000])
+def test_simple8b_blocks_of_other_sizes(block):
+    rng = np.random.default_rng(block)
+    v = (rng.integers(0, 50_257, 5000) * (rng.random(5000) < np.repeat(rng.random(10), 500))).astype(np.uint64)
+    lengths = np.array([0, 1, block, 2500 - block, 2499, 0])
+    words, doc_at, block_at = simple8b.pack(v, lengths, block)
+    ends, blocks = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(-(-lengths // block))])
+    for i, m in enumerate(lengths.tolist()):
+        own = simple8b.unpack(words[doc_at[i] : doc_at[i + 1]], m, block_at[blocks[i] : blocks[i + 1]] - doc_at[i], block)
+        assert (own == v[ends[i] : ends[i + 1]]).all()
+
+
 def test_packed_documents_hold_the_tokenizers_ids(spark, odd, none):
     for r in simple8b.pack_documents(odd).collect():
         text = {x[0]: x[1] for x in ROWS}[r["doc_id"]]
