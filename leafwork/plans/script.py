@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafwork.functions import script as S
-from leafwork.operators.islands import islands
+from leafwork.operators.bidi import bidi_lines
 from leafwork.sources import derived as D
 
 
@@ -120,16 +120,7 @@ def bidi_line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads by falling place, runs of left-to-right glyphs within it read rising, and brackets outside of them are mirrored. A
     neutral belongs to such a run if the nearest strong glyphs on both sides do.
     """
-    chars = D.arabic(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "")).alias("x", "c")).where("c <> ''").withColumn("no", F.floor(F.col("x") / 60))
-    by = Window.partitionBy("doc_id", "no")
-    g = chars.withColumn("k", S.strong_class(F.col("c"))).withColumn("strong", F.when(F.col("k") != "N", F.col("k"))).withColumn("rtl", F.max(F.col("k") == "R").over(by))
-    down = by.orderBy(F.desc("x"))
-    before, after = F.last("strong", True).over(down.rowsBetween(Window.unboundedPreceding, 0)), F.first("strong", True).over(down.rowsBetween(0, Window.unboundedFollowing))
-    g = g.withColumn("r", F.when(F.col("k") == "N", F.when((before == "L") & (after == "L"), "L").otherwise("R")).otherwise(F.col("k")))
-    g = islands(g, ["doc_id", "no"], [F.desc("x")], F.lag("r").over(down) != F.col("r"), "run")
-    key = F.when(~F.col("rtl"), F.struct(F.lit(0).cast("long").alias("run"), F.col("x").alias("x"))).otherwise(F.struct("run", F.when(F.col("r") == "L", F.col("x")).otherwise(-F.col("x")).alias("x")))
-    shown = F.when(F.col("rtl") & (F.col("r") == "R"), F.translate("c", S.FRONT, S.BACK)).otherwise(F.col("c"))
-    return g.groupBy("doc_id", "no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), shown.alias("c")))), lambda s: s["c"]), "").alias("line"))
+    return bidi_lines(D.arabic(spark, sf_dir))
 
 
 _BIDI = f"""WITH {D.ARABIC}, ch AS (SELECT *, x // 60 AS no FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, '')))) AS x FROM w_arabic WHERE text <> '')),
