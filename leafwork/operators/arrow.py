@@ -39,14 +39,14 @@ def parts(size: np.ndarray, most: int) -> Iterator[slice]:
         at = to
 
 
-def of_texts(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows whose text isn't null, of about ``most`` characters at once, with the code points of all and the number of each."""
+def of_texts(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 18, keep_null: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about ``most`` characters at once, with the code points of all and the number of each; no rows without text, or as empty ones."""
     for b in batches:
-        b = b.filter(pc.is_valid(b[column]))
-        size = pc.utf8_length(b[column]).to_numpy(zero_copy_only=False).astype(np.int64)
+        b = b if keep_null else b.filter(pc.is_valid(b[column]))
+        size = pc.fill_null(pc.utf8_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for s in parts(size, most):
             part = b.slice(s.start, s.stop - s.start)
-            joined = "".join(part[column].to_pylist())
+            joined = "".join(pc.fill_null(part[column], "").to_pylist())
             yield part, np.frombuffer(joined.encode("utf-32-le"), np.uint32), size[s]
 
 

@@ -32,19 +32,19 @@ def logical(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return codes
-    kind = np.where(codes < 0x10000, _STRONG[np.minimum(codes, 0xFFFF)], N)
-    ends = starts(size)
+    kind = np.where(codes < 0x10000, _STRONG[np.minimum(codes, 0xFFFF)], np.int8(N))
+    ends = starts(size).astype(np.int32)
     first, last = np.repeat(ends[:-1], size), np.repeat(ends[1:], size)
     rtl = np.repeat(np.add.reduceat(kind == R, ends[:-1]) > 0, size)
-    here = np.arange(n)
-    left = np.maximum.accumulate(np.where(kind != N, here, -1))
-    right = np.minimum.accumulate(np.where(kind != N, here, n)[::-1])[::-1]
+    here = np.arange(n, dtype=np.int32)
+    left = np.maximum.accumulate(np.where(kind != N, here, np.int32(-1)))
+    right = np.minimum.accumulate(np.where(kind != N, here, np.int32(n))[::-1])[::-1]
     between = (left >= first) & (right < last) & (kind[left] == L) & (kind[np.minimum(right, n - 1)] == L)
-    side = np.where(kind == N, np.where(between, L, R), kind)
+    side = np.where(kind == N, np.where(between, np.int8(L), np.int8(R)), kind)
     new = np.ones(n, bool)
     new[1:] = (side[1:] != side[:-1]) | (first[1:] != first[:-1])
-    runs = np.flatnonzero(new)
-    long = np.diff(np.append(runs, n))
+    runs = np.flatnonzero(new).astype(np.int32)
+    long = np.diff(np.append(runs, np.int32(n)))
     a, b = np.repeat(runs, long), np.repeat(runs + long, long)
     to = np.where(~rtl, here, np.where(side == L, first + last - b + here - a, first + last - 1 - here))
     shown = np.where(rtl & (side == R) & (codes < 0x100), _MIRROR[np.minimum(codes, 0xFF)], codes)

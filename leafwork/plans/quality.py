@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leafwork.functions import geom
 from leafwork.operators import score
+from leafwork.operators.edits import likeness
 from leafwork.plans import blocks, layout
 from leafwork.sources import derived as D
 
@@ -100,11 +101,9 @@ def hardest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parser_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean likeness of three ways to give a document's lines in ASCII, overall and by language."""
-    d = D.table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.regexp_replace("text", r"[^\n\x20-\x7e]+", " "), "\n")).alias("gold"))
-    ways = {"whole": F.col("gold"), "lower": F.lower("gold"), "words": F.array_join(F.reverse(F.split("gold", " ")), " ")}
-    p = d.select("lang", "gold", F.explode(F.create_map(*[x for k, v in ways.items() for x in (F.lit(k), v)])).alias("parser", "text"))
-    s = p.withColumn("score", 1 - F.levenshtein("gold", "text") / F.greatest(F.length("gold"), F.length("text"), F.lit(1)))
-    cube = s.groupingSets([["parser"], ["parser", "lang"]], "parser", "lang").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+    ways = {"whole": lambda t: t, "lower": str.lower, "words": lambda t: " ".join(reversed(t.split(" ")))}
+    p = likeness(D.ascii_documents(spark, sf_dir, "lang"), "lang", ways).withColumnRenamed("way", "parser")
+    cube = p.groupingSets([["parser"], ["parser", "lang"]], "parser", "lang").agg((F.sum("total") / F.sum("n")).alias("score"), F.sum("n").alias("n"))
     return cube.select("parser", F.coalesce("lang", F.lit("all")).alias("doc_type"), F.rint(F.col("score") * 100_000).cast("long").alias("score"), "n")
 
 

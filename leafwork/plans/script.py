@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leafwork.functions import script as S
 from leafwork.operators.bidi import bidi_lines
+from leafwork.operators.edits import next_line_scores
 from leafwork.sources import derived as D
 
 
@@ -160,10 +161,7 @@ def coverage_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness by edits of each line and the one after it, in ASCII, in millionths."""
-    d = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"[^\n\x20-\x7e]+", " "), "\n")).alias("i", "a"))
-    j = d.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("i"))).where("b is not null")
-    most = F.greatest(F.length("a"), F.length("b"))
-    return j.select("doc_id", "i", F.when(most == 0, 1_000_000).otherwise(F.rint((1 - F.levenshtein("a", "b") / most) * 1_000_000)).cast("long").alias("millionths"))
+    return next_line_scores(D.ascii_documents(spark, sf_dir, "doc_id"))
 
 
 def repeated_span_split(spark: SparkSession, sf_dir: str) -> DataFrame:

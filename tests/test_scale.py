@@ -38,3 +38,55 @@ def test_mixed_glyphs_are_as_by_hand():
     assert line("ab (c)") == "ab (c)"
     assert line("ا(ب") == "ب)ا"
     assert line("ا ab cd ب") == "ب ab cd ا"
+
+
+def test_edits_are_those_of_the_plain_table():
+    from leafwork.operators import edits
+    from leafwork.operators.score import distance
+
+    for top, letters in ((3, "ab"), (70, "abc é\U0001f600\0"), (300, "ab ")):
+        a, b = made(60, letters, top, 2), made(60, letters, top, 3)
+        a, b = a + ["", "x", "x" * 64, "x" * 65], b + ["yx", "", "y" * 64, "x" * 64]
+        want = [distance(x, y) for x, y in zip(a, b)]
+        assert edits.distances(a, b).tolist() == want
+        pairs = [(x, y) if len(x) > len(y) else (y, x) for x, y in zip(a, b)]
+        assert [edits._alone(x, y) for x, y in pairs] == want
+    r = random.Random(4)
+    for _ in range(300):
+        x = [r.choice("ab") for _ in range(r.randint(2, 50))]
+        y = x[:]
+        for _ in range(r.randint(1, 3)):
+            y.insert(r.randrange(len(y)), y.pop(r.randrange(len(y))))
+        unlike = [i for i, (p, q) in enumerate(zip(x, y)) if p != q]
+        if unlike:
+            assert edits._bounded("".join(x), "".join(y), unlike) == distance(x, y) == edits.distances(["".join(x)], ["".join(y)])[0]
+
+
+def test_line_scores_build_no_table_a_pair(spark, tmp_path):
+    d = documents(spark, tmp_path, [None, "", "\n", "a\n\nb", "Ab é\nab", "A" * 3000 + "\n" + "a" * 2900, *made(60, "abC é\n ", 90, 5)])
+    for name in ("edit_score", "parser_matrix"):
+        df = catalog.QUERIES[name](spark, d)
+        assert rows_of(df) == sql_rows(catalog.SQL[name], d)
+        assert "levenshtein" not in plan(df)
+
+
+def test_text_repair_takes_no_value_a_character(spark, tmp_path):
+    d = documents(spark, tmp_path, [None, "", "(2) abc, 12.", "?abc", ". abc 12.", ".! ab", *made(80, "abcdABCD 12(),.é\n", 120, 6)])
+    for name in ("normalize_text", "orientation_score", "deshape", "reverse_runs"):
+        assert rows_of(catalog.QUERIES[name](spark, d)) == sql_rows(catalog.SQL[name], d), name
+    for name in ("normalize_text", "orientation_score"):
+        assert "transform(" not in plan(catalog.QUERIES[name](spark, d)), name
+
+
+def test_repair_of_odd_texts(spark):
+    from pyspark.sql import functions as F
+
+    from leafwork.functions import repair
+    from leafwork.functions import script as S
+
+    texts = ["ﻵﻻ ab", "  x 　", "a​b", "²Ⅷ", "\U0001f600 ا", *made(100, "اله(]12. -ﻟﻻـَ \x1cab", 25, 7)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    for r in df.select(t, S.deshape(t).alias("d"), S.is_arabic(t).alias("a"), S.orientation(t).alias("o"), S.reverse_runs(t).alias("r"), S.strip(t).alias("s")).collect():
+        x = r["t"]
+        assert (r["d"], r["a"], r["o"], r["r"], r["s"]) == (repair.deshape(x), repair.is_arabic(x), repair.orientation(x), repair.reverse_runs(x), repair.strip(x)), repr(x)
