@@ -25,8 +25,7 @@ def deshape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orientation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.deshape(_t())
-    return D.arabic(spark, sf_dir).select("doc_id", S.orientation(t).alias("forward"), S.orientation(S.reverse_runs(t)).alias("backward"))
+    return D.arabic(spark, sf_dir).select("doc_id", S.orientations(_t()).alias("o")).select("doc_id", "o.*")
 
 
 def reverse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
