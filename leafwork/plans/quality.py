@@ -119,10 +119,13 @@ def invariant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixmap_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three commonest colours, in 32 steps a channel, of pictures made from the vectors of embeddings."""
-    px = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("i", "v")).withColumn("bucket", (F.floor((F.col("v") + 4) * 32) / 8).cast("int"))
+    """The three commonest colours, in 32 steps a channel, of pictures made from the vectors of embeddings.
+
+    Steps are counted in single precision, as the vectors are: a value just under a step counts to it.
+    """
+    px = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("i", "v")).withColumn("bucket", (F.floor((F.col("v") + F.lit(4).cast("float")) * F.lit(32).cast("float")) / 8).cast("int"))
     n = px.groupBy("vec_id", "bucket").agg(F.count("*").alias("n"))
-    r = n.withColumn("place", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("n"), "bucket")))
+    r = n.withColumn("place", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("n"), F.asc_nulls_last("bucket"))))
     return r.where("place <= 3").select("vec_id", "place", "bucket", "n")
 
 

@@ -90,3 +90,10 @@ def test_repair_of_odd_texts(spark):
     for r in df.select(t, S.deshape(t).alias("d"), S.is_arabic(t).alias("a"), S.orientation(t).alias("o"), S.reverse_runs(t).alias("r"), S.strip(t).alias("s")).collect():
         x = r["t"]
         assert (r["d"], r["a"], r["o"], r["r"], r["s"]) == (repair.deshape(x), repair.is_arabic(x), repair.orientation(x), repair.reverse_runs(x), repair.strip(x)), repr(x)
+
+
+def test_colours_are_counted_in_single_precision(spark, tmp_path):
+    rows = [(1, [-1e-8, 0.0, 0.25, -1e-8, 3.9999999]), (2, [0.2499999999, -4.0000001, -4.5]), (3, []), (4, None), (5, [None, 0.1])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = rows_of(catalog.QUERIES["pixmap_colours"](spark, str(tmp_path))), sql_rows(catalog.SQL["pixmap_colours"], str(tmp_path))
+    assert got == want and len(got[1]) > 4
