@@ -6,16 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sides(prefix: str = "") -> tuple[Column, Column, Column, Column]:
-    return tuple(F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1"))
+def sides(prefix: str | Column = "") -> tuple[Column, Column, Column, Column]:
+    """The columns with a prefix, or the fields of a struct."""
+    return tuple(F.col(f"{prefix}{c}") if isinstance(prefix, str) else prefix[c] for c in ("x0", "y0", "x1", "y1"))
 
 
-def area(p: str = "") -> Column:
+def area(p: str | Column = "") -> Column:
     x0, y0, x1, y1 = sides(p)
     return (x1 - x0) * (y1 - y0)
 
 
-def overlap(a: str, b: str) -> Column:
+def overlap(a: str | Column, b: str | Column) -> Column:
     """Area that two rectangles share; 0 where they only touch."""
     ax0, ay0, ax1, ay1 = sides(a)
     bx0, by0, bx1, by1 = sides(b)
@@ -23,7 +24,7 @@ def overlap(a: str, b: str) -> Column:
     return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
 
 
-def containment(inner: str, outer: str) -> Column:
+def containment(inner: str | Column, outer: str | Column) -> Column:
     """The share of ``inner`` that lies in ``outer``; 0 for an empty one."""
     return F.when(area(inner) > 0, overlap(inner, outer) / area(inner)).otherwise(F.lit(0.0))
 

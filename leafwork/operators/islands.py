@@ -31,7 +31,11 @@ def best_match(left: DataFrame, right: DataFrame, keys: list[str], score: Column
 
     One equi-join by page and one aggregate; of equal scores the smallest ``seq`` wins.
     """
-    joined = left.join(right, keys).where(least)
-    found = joined.groupBy(*keys, *left_id).agg(F.max_by(F.struct(value.alias("owner"), score.alias("score")), F.struct(score, -F.col(seq))).alias("m"))
-    found = found.select(*keys, *left_id, "m.owner", "m.score")
+    found = best_of(left.join(right, keys).where(least), [*keys, *left_id], score, value, seq)
     return left.join(found, [*keys, *left_id], "left") if how == "left" else found
+
+
+def best_of(pairs: DataFrame, by: list[str], score: Column, value: Column, seq: str) -> DataFrame:
+    """``(*by, owner, score)``: of the pairs of each ``by``, ``value`` of the one with the largest score; the smallest ``seq`` of equals."""
+    found = pairs.groupBy(*by).agg(F.max_by(F.struct(value.alias("owner"), score.alias("score")), F.struct(score, -F.col(seq))).alias("m"))
+    return found.select(*by, "m.owner", "m.score")

@@ -97,3 +97,15 @@ def test_colours_are_counted_in_single_precision(spark, tmp_path):
     spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = rows_of(catalog.QUERIES["pixmap_colours"](spark, str(tmp_path))), sql_rows(catalog.SQL["pixmap_colours"], str(tmp_path))
     assert got == want and len(got[1]) > 4
+
+
+def exchanges(df):
+    return [x for x in plan(df).split("\n") if "Exchange" in x and "Broadcast" not in x and "Reused" not in x]
+
+
+def test_words_and_lines_shuffle_documents_only(spark, tmp_path):
+    d = documents(spark, tmp_path, [None, "", " \n ", "a", "a b c d e f", "a b c d e f g", *made(40, "ab é\n😀", 9000, 8)])
+    for name in ("flow_paragraphs", "page_html", "born_digital_pages", "flow_spans_anti", "span_owner", "hardness_consensus", "hardness_report", "duplicate_blocks", "line_owner", "figure_captions"):
+        assert rows_of(catalog.QUERIES[name](spark, d)) == sql_rows(catalog.SQL[name], d), name
+    for name, most in (("flow_paragraphs", 1), ("page_html", 1), ("flow_spans_anti", 2), ("span_owner", 2)):
+        assert len(exchanges(catalog.QUERIES[name](spark, d))) <= most, name
