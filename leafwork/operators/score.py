@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,19 +39,25 @@ def edit_similarity(text: str, gold: str) -> float:
     return _alike(tidy(text), tidy(gold))
 
 
+@lru_cache(1 << 16)
+def _tidied(text: str) -> str:
+    return tidy(text)
+
+
 def claimed(pred: list[str], gold: list[str], least: float) -> list[int]:
     """For each prediction the gold item that it takes: the most similar that is left, above ``least``; else -1."""
-    tidied = [tidy(g) for g in gold]
+    tidied = [_tidied(g) for g in gold]
     left, out = dict(enumerate(tidied)), []
     same: dict[str, list[int]] = {}
     for g in range(len(gold) - 1, -1, -1):
         same.setdefault(tidied[g], []).append(g)
-    for p in map(tidy, pred):
+    for p in map(_tidied, pred):
         own = same.get(p, [])
         while own and own[-1] not in left:
             own.pop()
         # nothing is more similar than the same text, so that the others needn't be compared
-        best = (1.0, -own[-1]) if own else max(((_alike(p, t), -g) for g, t in left.items()), default=(0.0, 0))
+        # and texts of too unlike lengths can't be similar enough
+        best = (1.0, -own[-1]) if own else max(((_alike(p, t), -g) for g, t in left.items() if min(len(p), len(t)) > (least - 1e-9) * max(len(p), len(t))), default=(0.0, 0))
         if best[0] > least:
             del left[-best[1]]
             out.append(-best[1])
@@ -247,20 +254,50 @@ def _tree_distances(a: Node, b: Node, cells: np.ndarray) -> np.ndarray:
     return tree[-1, -1]
 
 
+@lru_cache(1 << 12)
+def _structure(a: tuple[int, ...], b: tuple[int, ...]) -> float:
+    """Distance of two tables with so many cells in each row, whatever these say."""
+    x, y = (table_tree([[""] * n for n in t]) for t in (a, b))
+    return float(_tree_distances(x, y, np.zeros((1, sum(a), sum(b))))[0])
+
+
+def _plain_distance(found: Grid, gold: Grid) -> float | None:
+    """The tree distance if it can be told without the table, else None.
+
+    If the smaller grid's rows have as many cells as the larger one's first rows, then to rename cell by cell and add the
+    rest is a way: that bounds it from above. From below: whatever keeps all nodes of the smaller tree costs what is to be
+    added and, for each of its cells, the cheapest rename there is; whatever doesn't keep them all costs two more than what is
+    to be added. A cell that shares no character with any in the other grid costs 1 wherever it goes.
+    """
+    few, many = (found, gold) if len(found) <= len(gold) else (gold, found)
+    if any(len(x) != len(y) for x, y in zip(few, many)):
+        return None
+    odd = [c for x, y in zip(few, many) if x != y for c, d in zip(x, y) if c.strip() != d.strip()]
+    if odd:
+        letters = set("".join(c for r in many for c in r))
+        if len(odd) > 2 or any(not (t := c.strip()) or letters & set(t) for c in odd):
+            return None
+    return float(sum(1 + len(r) for r in many[len(few) :]) + len(odd))
+
+
 def teds_of(found: list[Grid], gold: list[Grid], structure_only: bool = False, most: int = 512) -> np.ndarray:
     """``teds`` of each pair of grids; pairs of one shape are worked out together, ``most`` at once."""
     out = np.ones(len(gold))
     by_shape: dict[tuple, list[int]] = {}
     for i, (f, g) in enumerate(zip(found, gold)):
-        if f != g:
+        if f == g:
+            continue
+        if structure_only:
+            d = _structure(tuple(map(len, f)), tuple(map(len, g)))
+        else:
+            d = _plain_distance(f, g)
+        if d is not None:
+            out[i] = 1 - d / (1 + max(len(t) + sum(map(len, t)) for t in (f, g)))
+        else:
             by_shape.setdefault((tuple(map(len, f)), tuple(map(len, g))), []).append(i)
     for own in by_shape.values():
         a, b = table_tree(found[own[0]]), table_tree(gold[own[0]])
         n = max(1 + len(t.children) + sum(len(r.children) for r in t.children) for t in (a, b))
-        if structure_only:
-            cells = np.zeros((1, *(sum(len(r.children) for r in t.children) for t in (a, b))))
-            out[own] = 1 - _tree_distances(a, b, cells)[0] / n
-            continue
         for k in range(0, len(own), most):
             part = own[k : k + most]
             out[part] = 1 - _tree_distances(a, b, _cell_costs([found[i] for i in part], [gold[i] for i in part])) / n

@@ -113,9 +113,8 @@ def invariant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     forms = D.arabic(spark, sf_dir).select(F.count_if(S.has_forms(S.deshape(F.col("text")))).alias("n")).select(F.lit("presentation_forms").alias("name"), "n")
     ragged = blocks._grids(spark, sf_dir).select(F.count_if(F.size(F.array_distinct(F.transform("grid", lambda r: F.size(r)))) > 1).alias("n")).select(F.lit("ragged_tables").alias("name"), "n")
-    blank = layout.born_digital_pages(spark, sf_dir).select(F.count_if(F.col("chars") == 0).alias("n")).select(F.lit("empty_pages").alias("name"), "n")
-    low = layout.born_digital_pages(spark, sf_dir).select(F.count_if(~F.col("born_digital")).alias("n")).select(F.lit("needs_ocr").alias("name"), "n")
-    return forms.unionByName(ragged).unionByName(blank).unionByName(low)
+    pages = layout.born_digital_pages(spark, sf_dir).select(F.count_if(F.col("chars") == 0).alias("empty_pages"), F.count_if(~F.col("born_digital")).alias("needs_ocr"))
+    return forms.unionByName(ragged).unionByName(pages.unpivot([], ["empty_pages", "needs_ocr"], "name", "n"))
 
 
 def pixmap_colours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,45 @@ def test_words_and_lines_shuffle_documents_only(spark, tmp_path):
         assert rows_of(catalog.QUERIES[name](spark, d)) == sql_rows(catalog.SQL[name], d), name
     for name, most in (("flow_paragraphs", 1), ("page_html", 1), ("flow_spans_anti", 2), ("span_owner", 2)):
         assert len(exchanges(catalog.QUERIES[name](spark, d))) <= most, name
+
+
+def orders(spark, folder, lines, seed=9):
+    """Lineitems of orders of the given numbers of lines; some cells unknown."""
+    r = random.Random(seed)
+    rows = [(o * 3 - 7, r.randint(1, 9), r.randint(1, 9), k % 5, float(r.randint(1, 50)), r.random() * 10 ** r.randint(0, 6), r.randint(0, 10) / 100, r.randint(0, 8) / 100, r.choice("ANR"), r.choice("FO")) for o, n in enumerate(lines) for k in range(n)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    seen = {}
+    rows = [seen.setdefault(x[:4], x) for x in rows]
+    spark.createDataFrame([x for x in seen.values()], names).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_tables_shuffle_lines_once(spark, tmp_path):
+    d = orders(spark, tmp_path, [1, 2, 3, 4, 17, 40, *[random.Random(10).randint(1, 9) for _ in range(60)]])
+    documents(spark, tmp_path, ["a b c", None, "x" * 70])
+    for name in ("column_votes", "borderless_fill", "ruled_table_cells", "tables_to_pipes", "table_markdown", "table_grid", "table_bands", "numeric_cells", "invariant_summary"):
+        df = catalog.QUERIES[name](spark, d)
+        assert rows_of(df) == sql_rows(catalog.SQL[name], d), name
+        if name in ("column_votes", "borderless_fill", "ruled_table_cells", "tables_to_pipes"):
+            df = catalog.QUERIES[name](spark, d)
+            assert len(exchanges(df)) == 1 and "Window" not in plan(df), name
+
+
+def test_distances_that_need_no_table_are_those_of_the_table():
+    from leafwork.operators import score
+
+    r, told = random.Random(11), 0
+    for _ in range(1500):
+        g = [["".join(r.choice("ab1 ") for _ in range(r.randint(0, 3))) for _ in range(r.randint(0, 3))] for _ in range(r.randint(0, 4))]
+        f = [list(x) for x in g[: r.randint(0, len(g))]]
+        for _ in range(r.randint(0, 3)):
+            if f and (row := r.choice(f)):
+                row[r.randrange(len(row))] = r.choice(["?", "?!", " ", "", "?a", "b"])
+        if r.random() < 0.5:
+            f, g = g, f
+        want = score.tree_distance(score.table_tree(f), score.table_tree(g))[0]
+        got = score._plain_distance(f, g)
+        told += got is not None
+        assert got is None or abs(got - want) < 1e-9, (f, g, got, want)
+        assert score._structure(tuple(map(len, f)), tuple(map(len, g))) == score.tree_distance(score.table_tree(f), score.table_tree(g), True)[0]
+    assert told > 300
