@@ -56,3 +56,23 @@ def strings(codes: np.ndarray, size: np.ndarray) -> pa.Array:
     data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
     offsets = starts(wide)[starts(size)]
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)).cast(pa.string())
+
+
+def whole(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches cut where keys change, with where each group begins and the end of the last: no group is in two of them."""
+    left = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if left is None else pa.concat_batches([left, b])
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            x = pc.fill_null(b[k], -(1 << 31)).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        at = np.flatnonzero(new)
+        if at[-1]:
+            yield b.slice(0, at[-1]), at
+        left = b.slice(at[-1])
+    if left is not None:
+        yield left, np.array([0, left.num_rows])

@@ -1,15 +1,21 @@
 """Page-local operators that are recursive or work on grids: gutters, XY-cut, line grouping by running mean.
 
-Each takes one page at a time through ``applyInPandas`` keyed by document and page; pages are small, and one shuffle by page
-serves them all. Ties follow ``seq``.
+Each takes whole pages in Arrow batches (gutters one page at a time); one shuffle by document serves them all. Ties follow
+``seq``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from leafwork.operators.arrow import spread, starts, whole, within
 from leafwork.operators.islands import by_page
 
 BOXES = ["x0", "y0", "x1", "y1"]
@@ -107,13 +113,22 @@ def cut_order(boxes: np.ndarray, rtl: bool = False, gap: float = 14.0, deepest:
 def xy_cut(regions: DataFrame, rtl: bool = False) -> DataFrame:
     """``(doc_id, page, seq, place)``: each region's place in reading order."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        order = cut_order(pdf[BOXES].to_numpy(float), rtl)
-        seq = pdf["seq"].to_numpy()[order]
-        return pd.DataFrame({"doc_id": key[0], "page": key[1], "seq": seq, "place": np.arange(len(seq))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            regions = b["regions"].flatten()
+            pages = starts(pc.list_value_length(b["regions"]).to_numpy(zero_copy_only=False))
+            boxes = np.stack([regions.field(c).cast("float64").to_numpy(zero_copy_only=False) for c in BOXES], 1).tolist()
+            place = [np.array(_cut(boxes[i:j], rtl), np.int64) + i for i, j in zip(pages.tolist(), pages[1:].tolist())]
+            rows = np.repeat(np.arange(b.num_rows), np.diff(pages))
+            seq = regions.field("seq").cast("int64").take(pa.array(np.concatenate(place) if place else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows)), b["page"].take(pa.array(rows)), seq, pa.array(within(np.diff(pages)))], ["doc_id", "page", "seq", "place"])
+
+    pages = regions.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", *BOXES))).alias("regions"))
+    return pages.mapInArrow(run, "doc_id long, page int, seq long, place long")
 
-    return by_page(regions.select("doc_id", "page", "seq", *BOXES)).applyInPandas(one, "doc_id long, page int, seq long, place long")
+
+def _cut(boxes: list[list[float]], rtl: bool) -> list[int]:
+    return [0] if len(boxes) == 1 else cut_order(np.array(boxes, float).reshape(-1, 4), rtl)
 
 
 def group_lines(y: np.ndarray, size: np.ndarray, factor: float = 0.5) -> np.ndarray:
@@ -132,12 +147,48 @@ def group_lines(y: np.ndarray, size: np.ndarray, factor: float = 0.5) -> np.ndar
     return out
 
 
-def span_lines(spans: DataFrame, factor: float = 0.5) -> DataFrame:
-    """``(doc_id, page, seq, line_no)`` by vertical centres of spans."""
+def _lines_of(y: np.ndarray, size: np.ndarray, pages: np.ndarray, factor: float) -> np.ndarray:
+    """``group_lines`` of each page, whose spans begin at ``pages``.
+
+    Spans of one centre stay on one line, and as long as each further centre is too far from the one before, lines are centres.
+    Only pages where one isn't are gone through span by span.
+    """
+    n = np.diff(pages)
+    page = np.repeat(np.arange(len(n)), n)
+    by = np.lexsort((y, page))
+    v, s, p = y[by], size[by], page[by]
+    first = np.ones(len(v), bool)
+    first[1:] = p[1:] != p[:-1]
+    new = first.copy()
+    new[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(new)
+    largest = np.maximum.reduceat(s, at)
+    near = np.zeros(len(at), bool)
+    near[1:] = ~first[at[1:]] & ~(np.diff(v[at]) > np.maximum(factor * np.minimum(largest[:-1], s[at[1:]]), 1.0))
+    out = np.empty(len(v), np.int64)
+    line = np.cumsum(new) - 1
+    out[by] = line - line[pages[:-1]][p]
+    for k in np.unique(p[at[near]]).tolist():
+        a, b = pages[k], pages[k + 1]
+        out[a:b] = group_lines(y[a:b], size[a:b], factor)
+    return out
+
+
+def span_lines(spans: DataFrame, factor: float = 0.5, together: bool = False) -> DataFrame:
+    """``(doc_id, page, seq, line_no)`` by vertical centres of spans.
+
+    ``together``: the spans of a page already stand together in order of ``seq``; else they are brought there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, pages in whole(batches, ["doc_id", "page"]):
+            y0, y1, size = (b[c].cast("float64").to_numpy(zero_copy_only=False) for c in ("y0", "y1", "size"))
+            lines = _lines_of((y0 + y1) / 2, size, pages, factor)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["page"], b["seq"].cast("int64"), pa.array(lines)], ["doc_id", "page", "seq", "line_no"])
+
+    s = spans.select("doc_id", "page", "seq", "y0", "y1", "size")
+    return (s if together else _together(s)).mapInArrow(run, "doc_id long, page int, seq long, line_no long")
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        lines = group_lines(((pdf["y0"] + pdf["y1"]) / 2).to_numpy(float), pdf["size"].to_numpy(float), factor)
-        return pd.DataFrame({"doc_id": key[0], "page": key[1], "seq": pdf["seq"].to_numpy(), "line_no": lines})
 
-    return by_page(spans.select("doc_id", "page", "seq", "y0", "y1", "size")).applyInPandas(one, "doc_id long, page int, seq long, line_no long")
+def _together(spans: DataFrame) -> DataFrame:
+    return spread(spans, "doc_id").sortWithinPartitions("doc_id", "page", "seq")

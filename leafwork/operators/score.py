@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ Grid = list[list[str]]
 
 def cell_score(found: Grid, gold: Grid) -> float:
     """How many of the gold cells some cell of the other grid matches, each once, as a share."""
-    wanted, offered = ([tidy(text) for row in grid for text in row] for grid in (gold, found))
+    wanted, offered = ([_tidied(text) for row in grid for text in row] for grid in (gold, found))
     return sum(g >= 0 for g in claimed(offered, wanted, 0.7)) / len(wanted) if wanted else 1.0
 
 
@@ -304,13 +305,13 @@ def teds_of(found: list[Grid], gold: list[Grid], structure_only: bool = False, m
     return out
 
 
-def teds_column(pred: Column, gold: Column, structure_only: bool = False) -> Column:
-    """``teds`` of two ``array<array<string>>`` columns, in Arrow batches."""
+def teds_column(pred: Column, gold: Column) -> Column:
+    """``struct<teds, structure>`` of two ``array<array<string>>`` columns, in Arrow batches."""
 
-    @F.pandas_udf("double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for p, g in parts:
-            yield pd.Series(teds_of([[list(r) for r in x] for x in p], [[list(r) for r in x] for x in g], structure_only))
+    @F.arrow_udf("teds double, structure double")
+    def run(p: pa.Array, g: pa.Array) -> pa.Array:
+        found, wanted = p.to_pylist(), g.to_pylist()
+        return pa.StructArray.from_arrays([pa.array(teds_of(found, wanted, only)) for only in (False, True)], ["teds", "structure"])
 
     return run(pred, gold)
 
@@ -325,9 +326,8 @@ def order_column(pred: Column, gold: Column) -> Column:
 
 
 def cells_column(pred: Column, gold: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for p, g in parts:
-            yield pd.Series([cell_score([list(r) for r in x], [list(r) for r in y]) for x, y in zip(p, g)])
+    @F.arrow_udf("double")
+    def run(p: pa.Array, g: pa.Array) -> pa.Array:
+        return pa.array([cell_score(x, y) for x, y in zip(p.to_pylist(), g.to_pylist())], pa.float64())
 
     return run(pred, gold)

@@ -24,7 +24,8 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def teds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _damaged(spark, sf_dir)
-    return d.select("doc_id", F.rint(score.teds_column(F.col("pred"), F.col("grid")) * 1_000_000).cast("long").alias("teds"), F.rint(score.teds_column(F.col("pred"), F.col("grid"), True) * 1_000_000).cast("long").alias("structure"))
+    d = d.select("doc_id", score.teds_column(F.col("pred"), F.col("grid")).alias("t"))
+    return d.select("doc_id", *[F.rint(F.col(f"t.{c}") * 1_000_000).cast("long").alias(c) for c in ("teds", "structure")])
 
 
 def cell_score(spark: SparkSession, sf_dir: str) -> DataFrame:

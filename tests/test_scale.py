@@ -151,3 +151,44 @@ def test_distances_that_need_no_table_are_those_of_the_table():
         assert got is None or abs(got - want) < 1e-9, (f, g, got, want)
         assert score._structure(tuple(map(len, f)), tuple(map(len, g))) == score.tree_distance(score.table_tree(f), score.table_tree(g), True)[0]
     assert told > 300
+
+
+def test_lines_of_many_pages_are_those_of_each():
+    import numpy as np
+
+    from leafwork.operators import order
+
+    r = np.random.default_rng(12)
+    n = r.integers(1, 30, 60)
+    pages = np.append(0, np.cumsum(n))
+    y, size = r.integers(0, 60, pages[-1]) * r.choice([0.5, 3.0], pages[-1]), r.choice([1.0, 8.0, 12.0], pages[-1])
+    y[: pages[20]] = r.integers(0, 9, pages[20]) * 18
+    for factor in (0.5, 2.0):
+        want = np.concatenate([order.group_lines(y[a:b], size[a:b], factor) for a, b in zip(pages, pages[1:])])
+        assert (order._lines_of(y, size, pages, factor) == want).all()
+
+
+def test_pages_cut_between_batches_stay_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leafwork.operators import order
+    from leafwork.sources import derived as D
+
+    d = documents(spark, tmp_path, [None, "a", *made(30, "ab \n", 9000, 13)])
+    w = D.words(spark, d)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = sorted(map(tuple, order.span_lines(w, together=True).collect()))
+        assert got == sorted(map(tuple, order.span_lines(w.orderBy(F.rand(1))).collect())) and got
+        assert got == sorted((x["doc_id"], x["page"], x["seq"], x["line"] % 40) for x in w.collect())
+        boxes = w.select("doc_id", "page", "seq", "x0", "y0", "x1", "y1")
+        places = {(x["doc_id"], x["page"], x["seq"]): x["place"] for x in order.xy_cut(boxes).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    import numpy as np
+    by = {}
+    for x in sorted(map(tuple, boxes.collect())):
+        by.setdefault(x[:2], []).append(x[2:])
+    want = {(*k, rows[i][0]): place for k, rows in by.items() for place, i in enumerate(order.cut_order(np.array([q[1:] for q in rows])))}
+    assert places == want
+    assert "applyInPandas" not in plan(order.xy_cut(boxes)) and "FlatMapGroups" not in plan(order.xy_cut(boxes))
