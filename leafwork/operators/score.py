@@ -11,9 +11,12 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafwork.operators.arrow import starts
+
 
 def distance(a: list | str, b: list | str) -> int:
     """Edits between two sequences."""
@@ -305,12 +308,20 @@ def teds_of(found: list[Grid], gold: list[Grid], structure_only: bool = False, m
     return out
 
 
+def _grids(tables: pa.Array) -> list[Grid]:
+    """Nested lists of texts as Python has them: cells are taken all at once."""
+    rows = tables.flatten()
+    cells, row_ends, ends = rows.flatten().to_pylist(), *(starts(pc.list_value_length(x).to_numpy(zero_copy_only=False)).tolist() for x in (rows, tables))
+    grid = [cells[a:b] for a, b in zip(row_ends, row_ends[1:])]
+    return [grid[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def teds_column(pred: Column, gold: Column) -> Column:
     """``struct<teds, structure>`` of two ``array<array<string>>`` columns, in Arrow batches."""
 
     @F.arrow_udf("teds double, structure double")
     def run(p: pa.Array, g: pa.Array) -> pa.Array:
-        found, wanted = p.to_pylist(), g.to_pylist()
+        found, wanted = _grids(p), _grids(g)
         return pa.StructArray.from_arrays([pa.array(teds_of(found, wanted, only)) for only in (False, True)], ["teds", "structure"])
 
     return run(pred, gold)
@@ -328,6 +339,6 @@ def order_column(pred: Column, gold: Column) -> Column:
 def cells_column(pred: Column, gold: Column) -> Column:
     @F.arrow_udf("double")
     def run(p: pa.Array, g: pa.Array) -> pa.Array:
-        return pa.array([cell_score(x, y) for x, y in zip(p.to_pylist(), g.to_pylist())], pa.float64())
+        return pa.array([cell_score(x, y) for x, y in zip(_grids(p), _grids(g))], pa.float64())
 
     return run(pred, gold)

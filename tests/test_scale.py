@@ -192,3 +192,30 @@ def test_pages_cut_between_batches_stay_whole(spark, tmp_path):
     want = {(*k, rows[i][0]): place for k, rows in by.items() for place, i in enumerate(order.cut_order(np.array([q[1:] for q in rows])))}
     assert places == want
     assert "applyInPandas" not in plan(order.xy_cut(boxes)) and "FlatMapGroups" not in plan(order.xy_cut(boxes))
+
+
+def test_pages_with_known_boxes_have_the_tables_of_each():
+    import numpy as np
+
+    from leafwork.operators import tables
+
+    r = np.random.default_rng(14)
+    none, one = np.zeros((0, 4)), tables.Detector(842.0)
+    words = ["1", "22", "33.5", "ab", "x" * 20, "7" * 20, "Total:", "one two three four five six:", "Table 3", "table", "3 of", "—"]
+    for _ in range(300):
+        lines, columns = int(r.integers(1, 9)), int(r.integers(2, 5))
+        text = [words[r.integers(0, 4 if r.random() < 0.9 else len(words))] for _ in range(lines * columns)]
+        y = np.repeat(np.cumsum(r.choice([16, 16, 16, 70], lines)), columns) + 0.0
+        x = np.tile(np.arange(columns) * 100.0, lines)
+        box = np.stack([x, y, x + 50, y + 10], 1)
+        want = [(t.score, t.grid) for t in tables.best_borderless(tables.Spans(text, box), none, none, 842.0)]
+        assert one.grids(text, box) == want == one.grids(text, box)
+    assert one.kept
+
+
+def test_detectors_make_no_data_frame_a_page(spark, tmp_path):
+    d = orders(spark, tmp_path, [1, 2, 3, 4, 17, *[random.Random(15).randint(1, 9) for _ in range(60)]])
+    spark.read.parquet(f"{SMALL}/part.parquet").write.parquet(f"{d}/part.parquet")
+    for name in ("borderless_tables", "definition_tables"):
+        assert rows_of(catalog.QUERIES[name](spark, d)) == sql_rows(catalog.SQL[name], d), name
+        assert "InPandas" not in plan(catalog.QUERIES[name](spark, d)), name
