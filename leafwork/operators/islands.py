@@ -13,15 +13,6 @@ def islands(df: DataFrame, by: list[str], order: list, breaks: Column, name: str
     return df.withColumn("__break", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn(name, F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__break")
 
 
-def by_page(df: DataFrame):
-    """``df`` grouped by document and page for Python, in as many tasks as the session's shuffles have.
-
-    Pages are small in bytes but dear in Python, so that partitions must not be joined by their size.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "doc_id", "page").groupBy("doc_id", "page")
-
-
 def over(by: list[str], order: list) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
 

@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.operators.arrow import spread, starts, whole, within
-from leafwork.operators.islands import by_page
 
 BOXES = ["x0", "y0", "x1", "y1"]
 
@@ -37,8 +35,7 @@ def find_gutters(boxes: np.ndarray, width: float, height: float, most_ink: float
             size = b[:, hi] - b[:, lo]
             b = narrowed(b, size <= 1.25 * np.percentile(size, 90))
     ink = np.zeros((int(height / 4) + 1, int(width / 2) + 1), bool)
-    for x0, y0, x1, y1 in b:
-        ink[max(0, int(y0 / 4)) : int(y1 / 4) + 1, max(0, int(x0 / 2)) : int(x1 / 2) + 1] = True
+    _paint(ink, b)
     rows = np.flatnonzero(ink.any(1))
     if not len(rows):
         return [0.0, width]
@@ -70,13 +67,36 @@ def find_gutters(boxes: np.ndarray, width: float, height: float, most_ink: float
     return [first * 2.0, *cuts, last * 2.0 + 2]
 
 
-def gutters(spans: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
-    """``(doc_id, page, boundaries)`` from spans with boxes."""
+def _paint(ink: np.ndarray, b: np.ndarray) -> None:
+    """Ink where boxes are, in cells of 4 by 2 points; boxes of the same rows at once, if these share none with others."""
+    if np.isfinite(b).all() and b.min() >= 0 and (b[:, 2] >= b[:, 0]).all() and (b[:, 3] >= b[:, 1]).all():
+        left, right = (b[:, 0] / 2).astype(np.int64), (b[:, 2] / 2).astype(np.int64) + 1
+        bands, own = np.unique((b[:, 1] / 4).astype(np.int64) * (1 << 31) + (b[:, 3] / 4).astype(np.int64) + 1, return_inverse=True)
+        top, foot = bands >> 31, bands & ((1 << 31) - 1)
+        if (top[1:] >= foot[:-1]).all():
+            edges = np.zeros((len(bands), ink.shape[1] + 1), np.int64)
+            np.add.at(edges, (own, np.minimum(left, ink.shape[1])), 1)
+            np.add.at(edges, (own, np.minimum(right, ink.shape[1])), -1)
+            rows = np.repeat(top, foot - top) + within(foot - top)
+            on = rows < len(ink)
+            ink[rows[on]] = (np.cumsum(edges[:, :-1], 1) > 0)[np.repeat(np.arange(len(bands)), foot - top)[on]]
+            return
+    for x0, y0, x1, y1 in b:
+        ink[max(0, int(y0 / 4)) : int(y1 / 4) + 1, max(0, int(x0 / 2)) : int(x1 / 2) + 1] = True
+
+
+def gutters(spans: DataFrame, width: float = 595.0, height: float = 842.0, together: bool = False) -> DataFrame:
+    """``(doc_id, page, boundaries)`` from spans with boxes; ``together`` as for ``span_lines``."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "boundaries": [find_gutters(pdf.sort_values("seq")[BOXES].to_numpy(float), width, height)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, pages in whole(batches, ["doc_id", "page"]):
+            boxes = np.stack([b[c].cast("float64").to_numpy(zero_copy_only=False) for c in BOXES], 1)
+            found = [find_gutters(boxes[i:j], width, height) for i, j in zip(pages.tolist(), pages[1:].tolist())]
+            at = pa.array(pages[:-1])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["page"].take(at), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "page", "boundaries"])
 
-    return by_page(spans.select("doc_id", "page", "seq", *BOXES)).applyInPandas(one, "doc_id long, page int, boundaries array<double>")
+    s = spans.select("doc_id", "page", "seq", *BOXES)
+    return (s if together else _together(s)).mapInArrow(run, "doc_id long, page int, boundaries array<double>")
 
 
 def cut_order(boxes: np.ndarray, rtl: bool = False, gap: float = 14.0, deepest: int = 12) -> list[int]:

@@ -342,3 +342,22 @@ def cells_column(pred: Column, gold: Column) -> Column:
         return pa.array([cell_score(x, y) for x, y in zip(_grids(p), _grids(g))], pa.float64())
 
     return run(pred, gold)
+
+
+def letters_column(a: Column, b: Column) -> Column:
+    """``struct<i, u>``: how many characters two texts have in common, each as often as both have it, and how many either has."""
+
+    def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        joined = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+        return np.unique(row << 21 | joined, return_counts=True)
+
+    @F.arrow_udf("i long, u long")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (x, m), (y, n) = counted(a), counted(b)
+        keys, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        m, n = np.bincount(at[: len(x)], m, len(keys)), np.bincount(at[len(x) :], n, len(keys))
+        i, u = (np.bincount(keys >> 21, f(m, n), len(a)).astype(np.int64) for f in (np.minimum, np.maximum))
+        return pa.StructArray.from_arrays([pa.array(i), pa.array(u)], ["i", "u"])
+
+    return run(a, b)

@@ -59,9 +59,9 @@ def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = p.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where("copy = 0 or doc_id % 3 = 0").select("doc_id", "page", (F.col("col") * 2 + F.col("copy")).alias("block"), (F.col("x0") + 4 * F.col("copy")).alias("x0"), (F.col("y0") + 3 * F.col("copy")).alias("y0"), (F.col("x1") + 4 * F.col("copy")).alias("x1"), (F.col("y1") + 3 * F.col("copy")).alias("y1"), F.regexp_replace(F.lower("text"), r"\P{L}", "").alias("letters"))
     side = lambda q: b.select("doc_id", "page", *[F.col(c).alias(q + c) for c in ("block", "x0", "y0", "x1", "y1", "letters")])
     near = side("a_").join(side("b_"), ["doc_id", "page"]).where("a_block < b_block").where(geom.iou("a_", "b_") >= 0.5).select("doc_id", "a_block", "b_block", "a_letters", "b_letters")
-    bag = lambda c, n: near.select("doc_id", "a_block", "b_block", F.explode(F.split(c, "")).alias("c")).where("c <> ''").groupBy("doc_id", "a_block", "b_block", "c").agg(F.count("*").alias(n))
-    both = bag("a_letters", "m").join(bag("b_letters", "n"), ["doc_id", "a_block", "b_block", "c"], "full").na.fill(0, ["m", "n"])
-    sim = both.groupBy("doc_id", "a_block", "b_block").agg(F.sum(F.least("m", "n")).alias("i"), F.sum(F.greatest("m", "n")).alias("u"))
+    text = lambda c: F.array_join(F.collect_list(c), "").alias(c)
+    both = near.groupBy("doc_id", "a_block", "b_block").agg(text("a_letters"), text("b_letters"))
+    sim = both.select("doc_id", "a_block", "b_block", score.letters_column(F.col("a_letters"), F.col("b_letters")).alias("s")).select("doc_id", "a_block", "b_block", "s.*").where("u > 0")
     return sim.where("i >= 0.92 * u").select("doc_id", "a_block", "b_block")
 
 

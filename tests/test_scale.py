@@ -219,3 +219,38 @@ def test_detectors_make_no_data_frame_a_page(spark, tmp_path):
     for name in ("borderless_tables", "definition_tables"):
         assert rows_of(catalog.QUERIES[name](spark, d)) == sql_rows(catalog.SQL[name], d), name
         assert "InPandas" not in plan(catalog.QUERIES[name](spark, d)), name
+
+
+def test_ink_of_lines_is_that_of_boxes():
+    import numpy as np
+
+    from leafwork.operators import order
+
+    r = np.random.default_rng(16)
+    for k in range(300):
+        n = int(r.integers(1, 60))
+        x, y = r.uniform(-5 if k % 5 == 0 else 0, 640, n), r.integers(0, 50, n) * (18.0 if k % 2 else 7.3)
+        b = np.stack([x, y, x + r.uniform(0, 90, n), y + r.choice([12.0, 9.5], n)], 1)
+        want, got = np.zeros((2, 211, 298), bool)
+        for x0, y0, x1, y1 in b:
+            want[max(0, int(y0 / 4)) : int(y1 / 4) + 1, max(0, int(x0 / 2)) : int(x1 / 2) + 1] = True
+        order._paint(got, b)
+        assert (got == want).all()
+
+
+def test_gutters_and_duplicates_make_no_row_a_letter(spark, tmp_path):
+    import numpy as np
+
+    from leafwork.operators import order
+    from leafwork.sources import derived as D
+
+    d = documents(spark, tmp_path, [None, "a", *made(30, "abc  \n", 9000, 17)])
+    by = {}
+    for x in sorted(map(tuple, D.words(spark, d).select("doc_id", "page", "seq", "x0", "y0", "x1", "y1").collect())):
+        by.setdefault(x[:2], []).append(x[3:])
+    q = catalog.QUERIES["page_gutters"](spark, d)
+    assert {(x["doc_id"], x["page"]): x["boundaries"] for x in q.collect()} == {k: order.find_gutters(np.array(v), 595.0, 842.0) for k, v in by.items()}
+    assert "InPandas" not in plan(q)
+    q = catalog.QUERIES["duplicate_blocks"](spark, d)
+    assert rows_of(q) == sql_rows(catalog.SQL["duplicate_blocks"], d)
+    assert "split(" not in plan(q).replace("split(text", "") and "FullOuter" not in plan(q)
